@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphloom.llm import flac, secret_scan, sstable
+from glyphloom.llm import decontaminate, flac, language, near_dup, secret_scan, sstable
 from glyphloom.llm.shared import table
 
 
@@ -24,13 +24,25 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict(table(spark, sf_dir, "documents"))
+
+
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.components(table(spark, sf_dir, "documents"))
+
+
 def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.media_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_shards, op3_secret_scan, op8_flac_media)}
+    return {f.__name__: f for f in (op1_token_shards, op3_secret_scan, op4_language_id, op6_near_dup, op8_flac_media, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_decontaminate": decontaminate.leaks_sql()}
