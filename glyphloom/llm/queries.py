@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphloom.llm import decontaminate, flac, language, near_dup, secret_scan, sstable
+from glyphloom.llm import chat, decontaminate, flac, language, near_dup, page_text, pieces, quality, secret_scan, sstable
 from glyphloom.llm.shared import table
 
 
@@ -20,6 +20,10 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_shards(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_spans(table(spark, sf_dir, "documents"))
 
@@ -28,21 +32,33 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(table(spark, sf_dir, "documents"))
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.components(table(spark, sf_dir, "documents"))
 
 
+def op7_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.media_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_shards, op3_secret_scan, op4_language_id, op6_near_dup, op8_flac_media, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_token_shards, op2_page_text, op3_secret_scan, op4_language_id, op5_pieces, op6_near_dup, op7_chat_snapshots, op8_flac_media, op9_quality, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontaminate": decontaminate.leaks_sql()}
+    return {"op7_chat_snapshots": chat.snapshots_sql(), "op10_decontaminate": decontaminate.leaks_sql()}
