@@ -25,7 +25,7 @@ from glyphloom.llm.shared import materialise
 
 SAMPLE = 6_000
 BUCKETS = 1 << 15
-ROUNDS, RATE, PENALTY = 250, 2.0, 2e-4
+ROUNDS, WORDS, MIN_ASSOCIATION = 40, 200, 18.0
 MIN_QUALITY, MAX_TOXIC = 0.5, 0.5
 GROUP_WEIGHT = 0.5
 SHAPE = 8
@@ -55,47 +55,58 @@ def _shape(text: str) -> list[float]:
 
 @dataclass(frozen=True)
 class Model:
-    """Weights of the two targets: hashed words (presence, scaled by the root of their number), shape, constant."""
+    """Weights of the two targets: presence of hashed words; shape features and the constant."""
 
     words: np.ndarray
     shape: np.ndarray
 
     def scores(self, text: str | None) -> tuple[float, float]:
         text = text or ""
-        h = _hashes(text)
-        z = self.shape[:, :SHAPE] @ np.array(_shape(text)) + self.shape[:, SHAPE]
-        if len(h):
-            z = z + self.words[:, h].sum(1) / np.sqrt(len(h)) + self.words[:, h].max(1) * (self.words[:, h].max(1) > 0)
+        z = self.shape[:, :SHAPE] @ np.array(_shape(text)) + self.shape[:, SHAPE] + self.words[:, _hashes(text)].sum(1)
         return tuple(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def _association(with_one: np.ndarray, with_zero: np.ndarray, ones: int, zeros: int) -> np.ndarray:
+    """The likelihood-ratio statistic of each word's presence against the target."""
+    total, out = ones + zeros, 0.0
+    for seen, rows in ((with_one, ones), (with_zero, zeros)):
+        for count, share in ((seen, (with_one + with_zero) / total), (rows - seen, 1 - (with_one + with_zero) / total)):
+            expected = np.maximum(share * rows, 1e-12)
+            out = out + 2 * np.where(count > 0, count * np.log(np.maximum(count, 1e-12) / expected), 0.0)
+    return out
+
+
 def fit(texts: list[str], quality: np.ndarray, toxic: np.ndarray) -> Model:
-    """Smoothed log-odds of each word by target, then a logistic fit of the shape features and of how much the words count."""
+    """For each target, penalized logistic regression by Newton's method on shape and the words most associated with it."""
     words, shape = np.zeros((2, BUCKETS)), np.zeros((2, SHAPE + 1))
     if not texts:
         return Model(words, shape)
-    hashed, shapes = [_hashes(t) for t in texts], np.array([_shape(t) for t in texts])
-    x = np.hstack([shapes, np.ones((len(texts), 1))])
+    hashed = [np.unique(_hashes(t)) for t in texts]
+    row = np.repeat(np.arange(len(texts)), [len(h) for h in hashed])
+    flat = np.concatenate(hashed)
+    base = np.hstack([np.array([_shape(t) for t in texts]), np.ones((len(texts), 1))])
     for k, y in enumerate((quality, toxic)):
         if y.min() == y.max():
             shape[k, SHAPE] = 3.0 if y[0] else -3.0
             continue
-        seen = [np.bincount(np.concatenate([h for h, v in zip(hashed, y, strict=True) if v == c] or [np.zeros(0, np.int64)]), minlength=BUCKETS) for c in (0, 1)]
-        n = [(y == c).sum() for c in (0, 1)]
-        odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
-        spread = np.sqrt(1 / (seen[1] + 0.5) + 1 / (seen[0] + 0.5))
-        strong = np.where(np.abs(odds) > 4 * spread, odds, 0.0)  # words that say nothing for sure say nothing
-        words[k] = strong
-        base = np.array([strong[h].sum() / np.sqrt(max(len(h), 1)) + max(0.0, strong[h].max()) if len(h) else 0.0 for h in hashed])
-        w, scale = np.zeros(SHAPE + 1), 0.5
-        for step in range(ROUNDS):
-            p = 1 / (1 + np.exp(-np.clip(x @ w + scale * base, -30, 30)))
-            g = p - y
-            rate = RATE / (1 + step / 100)
-            w -= rate * ((x.T @ g) / len(y) + PENALTY * w)
-            scale -= rate * 0.2 * ((base @ g) / len(y) + PENALTY * scale)
-        words[k] *= scale
-        shape[k] = w
+        one, zero = (np.bincount(flat[y[row] == c], minlength=BUCKETS).astype(float) for c in (1, 0))
+        strength = _association(one, zero, int(y.sum()), int(len(y) - y.sum()))
+        chosen = np.sort(np.argsort(-strength, kind="stable")[:WORDS])
+        chosen = chosen[strength[chosen] > MIN_ASSOCIATION]
+        place = np.full(BUCKETS, -1)
+        place[chosen] = np.arange(len(chosen))
+        x = np.hstack([np.zeros((len(texts), len(chosen))), base])
+        inside = place[flat] >= 0
+        x[row[inside], place[flat[inside]]] = 1.0
+        ridge = np.concatenate([np.full(len(chosen), 1.0), np.full(SHAPE, 0.1), [1e-3]])
+        w = np.zeros(x.shape[1])
+        for _ in range(ROUNDS):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (p - y) + ridge * w)
+            w -= np.clip(step, -3, 3)
+            if np.abs(step).max() < 1e-6:
+                break
+        words[k, chosen], shape[k] = w[: len(chosen)], w[len(chosen) :]
     return Model(words, shape)
 
 
