@@ -6,11 +6,13 @@ a level, by a Fisher-Yates shuffle of its own, with rank plus a uniform fraction
 registers that hold at least its number, so all levels after the first that every register lies under are skipped.
 
 Equal sets form a class; only a class's smallest document goes on. Bands put classes in buckets. In a bucket every member
-is held against the leader (its smallest member); once components of these links are known, every pair of a bucket that the
-components don't join yet is held against each other too, so no candidate pair goes untested but those whose answer cannot
-change a component. Verification intersects the full sets.
+is held against the leader (its smallest member), then those outside its component against TARGETS more members. Every pair
+of a bucket that the components still don't join is held against each other too if at least MIN_ALIKE of its registers
+agree in four bits, so no candidate pair goes untested but those whose answer cannot change a component. Verification
+intersects the full sets.
 
-With BANDS x ROWS registers a pair at similarity 0.85 shares no bucket with probability (1 - 0.85^ROWS)^BANDS, 4e-7.
+With BANDS x ROWS registers a pair at similarity 0.85 shares no bucket with probability (1 - 0.85^ROWS)^BANDS, 4e-7, and has
+fewer than MIN_ALIKE (six standard deviations below the mean) with 1e-8.
 
 Defined cases: a document without words (null, empty or white space) has an empty set, is its own component and kept; equal
 rows are one class; rows that share a doc_id count as linked; an empty table gives no rows; other columns are ignored by
@@ -24,7 +26,7 @@ import struct
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphloom.llm.shared import materialise, release, text_rows
@@ -33,6 +35,8 @@ BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 SHINGLE = 5
 MIN_SHARE = 85  # of a hundred
+TARGETS = 4
+MIN_ALIKE = 84  # registers
 BROADCAST_IDS = 1_000_000  # 8 MB of ids; beyond that they are shuffled
 
 _G = np.uint64(0x9E3779B97F4A7C15)
@@ -108,7 +112,24 @@ def bands_of(registers: np.ndarray) -> np.ndarray:
     return mix((raw * _COLUMN).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _G).view(np.int64)
 
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n_shingles", pa.int64()), ("bands", pa.list_(pa.int64()))])
+def nibbles_of(registers: np.ndarray) -> np.ndarray:
+    """Four bits of each register, sixteen registers a long."""
+    four = np.zeros(-(-REGISTERS // 16) * 16, np.uint64)
+    four[:REGISTERS] = mix(registers.view(np.uint64)) >> np.uint64(60)
+    return (four.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(1, dtype=np.uint64).view(np.int64)
+
+
+def _differing(one: str, two: str) -> Column:
+    """How many registers differ in their four bits."""
+    total = F.lit(0)
+    for i in range(-(-REGISTERS // 16)):
+        x = F.col(one)[i].bitwiseXOR(F.col(two)[i])
+        any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+        total = total + F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n_shingles", pa.int64()), ("bands", pa.list_(pa.int64())), ("nibbles", pa.list_(pa.int64()))])
 
 
 def _in_pieces(batch, most: int = 8 << 20):
@@ -128,16 +149,18 @@ def _in_pieces(batch, most: int = 8 << 20):
 def _sketch(batches):
     for batch in batches:
         for ids, texts in _in_pieces(batch):
-            known: dict[bytes, np.ndarray] = {}
-            keys, sizes, bands = [], [], []
+            known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+            keys, sizes, bands, nibbles = [], [], [], []
             for doc_id, s in zip(ids, shingle_sets(texts), strict=True):
                 key = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else struct.pack(">q", doc_id or 0)
                 if len(s) and key not in known:
-                    known[key] = bands_of(signature(s))
+                    registers = signature(s)
+                    known[key] = (bands_of(registers), nibbles_of(registers))
                 keys.append(key)
                 sizes.append(len(s))
-                bands.append(known[key] if len(s) else [])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], schema=_SKETCH)
+                bands.append(known[key][0] if len(s) else [])
+                nibbles.append(known[key][1] if len(s) else [])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(nibbles, pa.list_(pa.int64()))], schema=_SKETCH)
 
 
 def _sets(batches):
@@ -188,10 +211,25 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _labelled(members: DataFrame, stars: DataFrame) -> DataFrame:
+    """Bucket rows with their node's component and their leader's, main; written."""
+    node = stars.select("node", "component")
+    leader = stars.select(F.col("node").alias("leader"), F.col("component").alias("main"))
+    found = members.join(node.hint("merge"), "node", "left").join(leader.hint("merge"), "leader", "left")
+    return materialise(found.withColumn("component", F.coalesce("component", "node")).withColumn("main", F.coalesce("main", "leader")), "labelled")
+
+
+def _joined(stars: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links."""
+    if links.isEmpty():
+        return stars
+    return materialise(connected(links.union(stars.select(F.col("component").alias("a"), F.col("node").alias("b")))), "components")
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     rows = text_rows(docs, id_col, text_col)
-    sketches = materialise(rows.mapInArrow(_sketch, "doc_id long, key binary, n_shingles long, bands array<long>"), "sketches")
+    sketches = materialise(rows.mapInArrow(_sketch, "doc_id long, key binary, n_shingles long, bands array<long>, nibbles array<long>"), "sketches")
     classes = materialise(sketches.groupBy("key").agg(F.min("doc_id").alias("node")), "classes")
     chosen = sketches.where("n_shingles > 0").join(classes.hint("merge"), (sketches["key"] == classes["key"]) & (sketches["doc_id"] == classes["node"]), "left_semi")
     buckets = materialise(chosen.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band")).distinct(), "buckets")
@@ -201,22 +239,27 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     links = _verified(rows, members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
     stars = materialise(connected(links), "components")
 
-    # Pairs of one bucket that are in different components and untested: none of the two is the leader.
-    label = stars.select("node", "component")
-    seen = members.where("members > 2").join(label.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    top = label.select(F.col("node").alias("leader"), F.col("component").alias("main"))
-    seen = materialise(seen.join(top.hint("merge"), "leader", "left").withColumn("main", F.coalesce("main", "leader")), "labelled")
-    apart = seen.where("component <> main").select("band", F.col("node").alias("x"), F.col("component").alias("cx"))
-    mixed = apart.select("band").distinct()
-    others = seen.where("node <> leader").join(mixed, "band", "left_semi").select("band", F.col("node").alias("y"), F.col("component").alias("cy"), (F.col("component") == F.col("main")).alias("in_main"))
-    rest = apart.join(others, "band").where("cx <> cy and (in_main or x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = _verified(rows, rest)
-    if not more.isEmpty():
-        stars = materialise(connected(more.union(stars.select(F.col("component").alias("a"), F.col("node").alias("b")))), "components")
+    seen = _labelled(members.where("members > 2"), stars)
+    spots = [F.min(F.struct(F.xxhash64("node", F.lit(i)), F.col("node").alias("target"), F.col("component").alias("other"))).alias(f"t{i}") for i in range(TARGETS)]
+    mixed = seen.where("component <> main").select("band").distinct()
+    targets = materialise(seen.join(mixed, "band", "left_semi").groupBy("band").agg(*spots).select("band", F.explode(F.array(*[f"t{i}" for i in range(TARGETS)])).alias("t")).select("band", "t.target", "t.other").distinct(), "targets")
+    tries = seen.where("component <> main").join(targets.hint("merge"), "band").where("component <> other")
+    stars = _joined(stars, _verified(rows, tries.select(F.least("node", "target").alias("a"), F.greatest("node", "target").alias("b")).distinct()))
+
+    # Pairs of one bucket that are in different components: at least one is outside the leader's.
+    release(seen)
+    seen = _labelled(members.where("members > 2"), stars)
+    apart = seen.where("component <> main")
+    signs = materialise(chosen.select(F.col("doc_id").alias("node"), "nibbles").join(seen.join(apart.select("band").distinct(), "band", "left_semi").select("node").distinct().hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "signs")
+    apart = apart.join(signs.hint("merge"), "node").select("band", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("nibbles").alias("sx"))
+    others = seen.where("node <> leader").join(signs.hint("merge"), "node").select("band", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("nibbles").alias("sy"), (F.col("component") == F.col("main")).alias("in_main"))
+    alike = F.expr("cx <> cy and (in_main or x < y)") & (_differing("sx", "sy") <= REGISTERS - MIN_ALIKE)
+    rest = materialise(apart, "apart").join(materialise(others, "others").hint("merge"), "band").where(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    stars = _joined(stars, _verified(rows, rest))
 
     labels = stars.where("node <> component")
     by_class = materialise(classes.join(labels.hint("merge"), "node", "left").select("key", F.coalesce("component", "node").alias("component_id")), "class-components")
-    for used in (members, links, seen, more, leaders):
+    for used in (members, links, seen, targets, signs, leaders):
         release(used)
     found = sketches.select("doc_id", "key", "n_shingles").join(by_class.hint("merge"), "key", "left")
     component = F.coalesce("component_id", "doc_id")
