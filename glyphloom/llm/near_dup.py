@@ -7,9 +7,13 @@ registers that hold at least its number, so all levels after the first that ever
 
 Equal sets form a class; only a class's smallest document goes on. Bands put classes in buckets. In a bucket every member
 is held against the leader (its smallest member), then those outside its component against TARGETS more members. Every pair
-of a bucket that the components still don't join is held against each other too if at least MIN_ALIKE of its registers
-agree in four bits, so no candidate pair goes untested but those whose answer cannot change a component. Verification
-intersects the full sets.
+of a bucket that the components still don't join is held against each other too, unless its parities rule it out or fewer
+than MIN_ALIKE of its registers agree in four bits; so no candidate pair goes untested but those whose answer cannot change a
+component. Verification intersects the full sets.
+
+The parities of a set are PARITIES bits, each saying whether an odd number of elements hash to it. Where those of two sets
+differ there is an element in only one of them, so the number of differing bits never exceeds the symmetric difference, and a
+pair with more than its similarity allows is no link for certain.
 
 With BANDS x ROWS registers a pair at similarity 0.85 shares no bucket with probability (1 - 0.85^ROWS)^BANDS, 4e-7, and has
 fewer than MIN_ALIKE (six standard deviations below the mean) with 1e-8.
@@ -37,6 +41,7 @@ SHINGLE = 5
 MIN_SHARE = 85  # of a hundred
 TARGETS = 4
 MIN_ALIKE = 84  # registers
+PARITIES = 1024  # bits
 BROADCAST_IDS = 1_000_000  # 8 MB of ids; beyond that they are shuffled
 
 _G = np.uint64(0x9E3779B97F4A7C15)
@@ -119,6 +124,20 @@ def nibbles_of(registers: np.ndarray) -> np.ndarray:
     return (four.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(1, dtype=np.uint64).view(np.int64)
 
 
+def parities_of(elements: np.ndarray) -> np.ndarray:
+    """Whether an odd number of elements fall to each place, 64 places a long."""
+    odd = np.bincount((mix(elements + _G) % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _may_link(odd_one: str, odd_two: str, size_one: str, size_two: str) -> Column:
+    """False only where the parities prove that the symmetric difference is too large."""
+    least = F.lit(0)
+    for i in range(PARITIES // 64):
+        least = least + F.bit_count(F.col(odd_one)[i].bitwiseXOR(F.col(odd_two)[i]))
+    return least * (100 + MIN_SHARE) <= (100 - MIN_SHARE) * (F.col(size_one) + F.col(size_two))
+
+
 def _differing(one: str, two: str) -> Column:
     """How many registers differ in their four bits."""
     total = F.lit(0)
@@ -129,7 +148,7 @@ def _differing(one: str, two: str) -> Column:
     return total
 
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n_shingles", pa.int64()), ("bands", pa.list_(pa.int64())), ("nibbles", pa.list_(pa.int64()))])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n_shingles", pa.int64()), ("bands", pa.list_(pa.int64())), ("nibbles", pa.list_(pa.int64())), ("parities", pa.list_(pa.int64()))])
 
 
 def _in_pieces(batch, most: int = 2 << 20):
@@ -149,18 +168,20 @@ def _in_pieces(batch, most: int = 2 << 20):
 def _sketch(batches):
     for batch in batches:
         for ids, texts in _in_pieces(batch):
-            known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
-            keys, sizes, bands, nibbles = [], [], [], []
+            known: dict[bytes, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+            keys, sizes, bands, nibbles, parities = [], [], [], [], []
             for doc_id, s in zip(ids, shingle_sets(texts), strict=True):
                 key = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else struct.pack(">q", doc_id or 0)
                 if len(s) and key not in known:
                     registers = signature(s)
-                    known[key] = (bands_of(registers), nibbles_of(registers))
+                    known[key] = (bands_of(registers), nibbles_of(registers), parities_of(s))
                 keys.append(key)
                 sizes.append(len(s))
                 bands.append(known[key][0] if len(s) else [])
                 nibbles.append(known[key][1] if len(s) else [])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(nibbles, pa.list_(pa.int64()))], schema=_SKETCH)
+                parities.append(known[key][2] if len(s) else [])
+            longs = [pa.array(x, pa.list_(pa.int64())) for x in (bands, nibbles, parities)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), *longs], schema=_SKETCH)
 
 
 def _sets(batches):
@@ -229,7 +250,7 @@ def _joined(stars: DataFrame, links: DataFrame) -> DataFrame:
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     rows = text_rows(docs, id_col, text_col)
-    sketches = materialise(rows.mapInArrow(_sketch, "doc_id long, key binary, n_shingles long, bands array<long>, nibbles array<long>"), "sketches")
+    sketches = materialise(rows.mapInArrow(_sketch, "doc_id long, key binary, n_shingles long, bands array<long>, nibbles array<long>, parities array<long>"), "sketches")
     classes = materialise(sketches.groupBy("key").agg(F.min("doc_id").alias("node")), "classes")
     chosen = sketches.where("n_shingles > 0").join(classes.hint("merge"), (sketches["key"] == classes["key"]) & (sketches["doc_id"] == classes["node"]), "left_semi")
     buckets = materialise(chosen.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band")).distinct(), "buckets")
@@ -250,10 +271,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     release(seen)
     seen = _labelled(members.where("members > 2"), stars)
     apart = seen.where("component <> main")
-    signs = materialise(chosen.select(F.col("doc_id").alias("node"), "nibbles").join(seen.join(apart.select("band").distinct(), "band", "left_semi").select("node").distinct().hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "signs")
-    apart = apart.join(signs.hint("merge"), "node").select("band", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("nibbles").alias("sx"))
-    others = seen.where("node <> leader").join(signs.hint("merge"), "node").select("band", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("nibbles").alias("sy"), (F.col("component") == F.col("main")).alias("in_main"))
-    alike = F.expr("cx <> cy and (in_main or x < y)") & (_differing("sx", "sy") <= REGISTERS - MIN_ALIKE)
+    signs = materialise(chosen.select(F.col("doc_id").alias("node"), "nibbles", "parities", "n_shingles").join(seen.join(apart.select("band").distinct(), "band", "left_semi").select("node").distinct().hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "signs")
+    apart = apart.join(signs.hint("merge"), "node").select("band", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("nibbles").alias("sx"), F.col("parities").alias("px"), F.col("n_shingles").alias("nx"))
+    others = seen.where("node <> leader").join(signs.hint("merge"), "node").select("band", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("nibbles").alias("sy"), F.col("parities").alias("py"), F.col("n_shingles").alias("ny"), (F.col("component") == F.col("main")).alias("in_main"))
+    alike = F.expr("cx <> cy and (in_main or x < y)") & _may_link("px", "py", "nx", "ny") & (_differing("sx", "sy") <= REGISTERS - MIN_ALIKE)
     rest = materialise(apart, "apart").join(materialise(others, "others").hint("merge"), "band").where(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     stars = _joined(stars, _verified(rows, rest))
 

@@ -195,6 +195,16 @@ def test_near_dup(spark, docs, none):
     assert near_dup.components(none).count() == 0
 
 
+def test_parities_bound_the_symmetric_difference():
+    rng = np.random.default_rng(7)
+    for n in (1, 5, 140, 5000):
+        one = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for cut in (0, 1, n // 20, n // 2):
+            two = np.unique(np.concatenate((one[cut:], rng.integers(0, 1 << 63, cut, dtype=np.uint64))))
+            differ = int(np.bitwise_count((near_dup.parities_of(one) ^ near_dup.parities_of(two)).view(np.uint64)).sum())
+            assert differ <= len(np.setxor1d(one, two)) and (cut or not differ)
+
+
 def test_chat(spark):
     turn = lambda c, n, end="": [(c, i, "user" if i % 2 == 0 else "assistant", f"t{i}{end if i == n - 1 else ''}", "x") for i in range(n)]
     rows = turn(1, 2) + turn(2, 4) + turn(3, 4) + turn(4, 3, "!") + turn(5, 200) + turn(6, 130) + [(7, 0, None, None, "x"), (None, 0, "user", "a", "x"), (8, 0, "user", "<|im_end|>", "x"), (8, 0, "user", "<|im_end|>", "x")]
