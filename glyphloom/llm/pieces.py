@@ -31,6 +31,7 @@ from glyphloom.llm.shared import text_rows
 
 SPACE = "▁"
 CACHE = 600_000
+CACHED_LENGTH = 100  # longer parts are seldom met again
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 _PARTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -53,12 +54,21 @@ class Transducer:
         if any(SPACE in p.lstrip(SPACE) for p in self.normal):
             raise ValueError("a piece spans words")
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == BYTE}
-        self.longest = max(map(len, self.normal))
         order = {v: i for i, v in enumerate(sorted({-self.score[i] for p, i in self.normal.items() if len(p) > 1}))}
         self.rank = {p: order[-self.score[i]] for p, i in self.normal.items() if len(p) > 1}  # when a merge's turn comes
         self.halves: dict[str, tuple[str, str] | None] = {}
-        self.joint: dict[tuple[str, str], bool] = {}
+        self.after: dict[str, dict[str, bool]] = {}  # which piece may follow which
+        self.pairs = 0
+        self.codes: dict[str, bytes] = {}
+        self.spelling = [self._spell(i) for i in range(len(self.pieces))]
         self.cache: dict[str, bytes] = {}
+        self.tree: dict = {}  # the pieces that merging makes, last character first; a piece stands under ""
+        for piece in self.rank:
+            if self._halves(piece):
+                node = self.tree
+                for char in reversed(piece):
+                    node = node.setdefault(char, {})
+                node[""] = piece
 
     def normalize(self, text: str) -> str:
         return self.prefix + text.replace(" ", SPACE) if text else ""
@@ -96,40 +106,59 @@ class Transducer:
                 return True
 
     def path(self, part: str) -> list[str]:
-        """The shortest path through a part's lattice, as pieces and characters. ``last[i]`` is the piece that ends the finite path to i."""
+        """The shortest path through a part's lattice, as pieces and characters.
+
+        ``last[i]`` is the piece that ends the finite path to i; there is exactly one, so the first that fits is taken. The
+        pieces that end at a place are found by walking backwards through the pieces' suffix tree.
+        """
         n = len(part)
-        last: list[str | None] = [None] * (n + 1)
-        rank, longest, joint = self.rank, self.longest, self.joint
-        if len(joint) > 2 * CACHE:
-            joint.clear()
+        last: list[str] = [""] * (n + 1)
+        if self.pairs > 2 * CACHE:
+            self.after.clear()
+            self.pairs = 0
+        after, tree = self.after, self.tree
         for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                piece = part[start:end]
-                if end - start > 1 and (piece not in rank or self._halves(piece) is None):
-                    continue
-                if start:
-                    pair = (last[start], piece)
-                    if (ok := joint.get(pair)) is None:
-                        ok = joint[pair] = self._arc(*pair)
-                    if not ok:
-                        continue
-                last[end] = piece
-                break
+            node, at = tree, end
+            while True:
+                at -= 1
+                char = part[at]
+                node = node.get(char)
+                piece = char if at == end - 1 else node.get("") if node else None
+                if piece is not None:
+                    if not at:
+                        break
+                    before = last[at]
+                    follows = after.get(before)
+                    if follows is None:
+                        follows = after[before] = {}
+                    ok = follows.get(piece)
+                    if ok is None:
+                        ok = follows[piece] = self._arc(before, piece)
+                        self.pairs += 1
+                    if ok:
+                        break
+                if not node or not at:
+                    raise AssertionError("a lattice without a finite path")
+            last[end] = piece
         out, at = [], n
         while at:
             out.append(last[at])
             at -= len(last[at])
         return out[::-1]
 
+    def _code(self, piece: str) -> bytes:
+        k = self.normal.get(piece)
+        ids = [k] if k is not None else [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
+        got = self.codes[piece] = np.asarray(ids, "<u4").tobytes()
+        return got
+
     def _ids(self, part: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.path(part):
-            k = self.normal.get(piece)
-            ids += [k] if k is not None else [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
-        got = np.asarray(ids, "<u4").tobytes()
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
-        self.cache[part] = got
+        codes = self.codes
+        got = b"".join([codes.get(piece) or self._code(piece) for piece in self.path(part)])
+        if len(part) <= CACHED_LENGTH:
+            if len(self.cache) >= CACHE:
+                self.cache.clear()
+            self.cache[part] = got
         return got
 
     def encode(self, text: str) -> np.ndarray:
@@ -144,18 +173,13 @@ class Transducer:
 
     def decode(self, ids) -> str:
         """The inverse: runs of bytes become characters, the dummy prefix goes."""
-        out = bytearray()
-        for i in ids:
-            kind = self.kinds[i]
-            if kind == BYTE:
-                out.append(int(self.pieces[i][3:5], 16))
-            elif kind in (NORMAL, USER):
-                out += self._utf8(i)
-        text = out.decode("utf-8", "replace").replace(SPACE, " ")
+        text = b"".join(map(self.spelling.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
-    def _utf8(self, i: int) -> bytes:
-        return self.pieces[i].encode()
+    def _spell(self, i: int) -> bytes:
+        if self.kinds[i] == BYTE:
+            return bytes([int(self.pieces[i][3:5], 16)])
+        return self.pieces[i].encode() if self.kinds[i] in (NORMAL, USER) else b""
 
 
 _loaded: dict[str, Transducer] = {}
