@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphloom.llm.shared import small_batches
+
 SAMPLE = 3_000
 MIN_COUNT, MIN_RATE = 3, 0.3
 SLOTS_A_GRAM, PROBES = 16, 3
@@ -134,7 +136,7 @@ def _count(batches):
 
 def train(docs: DataFrame) -> Filters:
     """Filters from a bounded sample of the rows outside the held-out quarter that have a lang and a text."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False))).select("lang", "text", "doc_id")
+    rows = small_batches(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False))).select("lang", "text", "doc_id")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
     if not sizes:
         return Filters.build([], {})
@@ -154,7 +156,7 @@ def train(docs: DataFrame) -> Filters:
 
 
 def _predictor(docs: DataFrame, model: Filters):
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
     def predict_text(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -151,7 +151,7 @@ def _differing(one: str, two: str) -> Column:
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n_shingles", pa.int64()), ("bands", pa.list_(pa.int64())), ("nibbles", pa.list_(pa.int64())), ("parities", pa.list_(pa.int64()))])
 
 
-def _in_pieces(batch, most: int = 2 << 20):
+def _in_pieces(batch, most: int = 1 << 19):
     """(doc_id, UTF-8) lists of bounded size; a single text may exceed it."""
     ids, texts, held = [], [], 0
     for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from glyphloom.llm.shared import text_rows
 
 SPACE = "▁"
-CACHE = 600_000
+CACHE = 200_000
 CACHED_LENGTH = 100  # longer parts are seldom met again
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 _PARTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")

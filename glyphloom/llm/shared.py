@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +48,15 @@ def release(df: DataFrame) -> None:
         where.getFileSystem(session.sessionState().newHadoopConf()).delete(where, True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, and Arrow batches in its session that hold few whole documents, unless the session was started with limits of its own."""
+    given = df.sparkSession.sparkContext.getConf()
+    for key, value in ARROW_BATCH.items():
+        if not given.contains(key):
+            df.sparkSession.conf.set(key, value)
+    return df
+
+
 def text_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator works on (extra columns of any name are left out); a null text is empty."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
