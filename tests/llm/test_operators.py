@@ -229,6 +229,8 @@ def test_flac(spark, docs, none):
         assert (flac.decode_plain(f)[:, 0].astype(np.int8).view(np.uint8) ^ 128).tobytes() == p
     big = max(range(len(files)), key=lambda i: len(payloads[i]))
     assert (flac.samples_from(files[big], 1500, 300).view(np.uint8) ^ 128).tobytes() == payloads[big][1500:1800]
+    long = bytes(rng.randrange(97, 123) for _ in range(4 * flac.BLOCK + 192))
+    assert all((flac.samples_from(flac.encode([long])[0], at, 300).view(np.uint8) ^ 128).tobytes() == long[at : at + 300] for at in (0, flac.BLOCK - 100, 3 * flac.BLOCK + 5, len(long) - 300))
     broken = bytearray(files[0])
     broken[-1] ^= 1
     with pytest.raises(ValueError, match="checksum"):
