@@ -6,12 +6,19 @@ hash-joined with those of the benchmark. A window with several slots must also f
 surface in the document exactly where they have in the item, so a question with other numbers matches and a shuffled one
 doesn't. A document holds an item if it has at least ``MIN_WINDOWS`` of the item's windows, or all if there are fewer.
 
+Texts are read in up to two forms, and a pair's figures are those of the first that finds it:
+
+* ``inside``: as above, each run of digits a number;
+* ``exact``: surface words, numbers and names kept, and the whole item as one key. This is for items with fewer than
+  MIN_WINDOWS + 2 windows inside (what stands around a copy can change its first and last word there).
+
 Only DataFrame functions are used. The item windows are broadcast if there are at most ``BROADCAST_WINDOWS``; beyond that
 the same join shuffles.
 
-Defined cases: a null or empty text has no words and no windows; an item of fewer than WINDOW words is one window of its own
-length, and of fewer than MIN_WORDS words (no more than a common phrase) none; windows with fewer literal words than
-placeholders are left out; equal items each give their rows; repeated documents with one id count once; empty tables give
+Defined cases: a null or blank text has no words and no windows; an item of fewer than WINDOW words is one window of its own
+length inside, and of fewer than MIN_WORDS words none; windows with fewer literal words than placeholders
+are left out there. Such items are found by their exact form alone, however short: an item of one word is held by every
+document with that word. An item without letters and digits is its marks between white space; equal items each give their rows; repeated documents with one id count once; empty tables give
 no rows; other columns are ignored by ``leaks`` and kept by ``without_leaks``.
 """
 
@@ -27,20 +34,27 @@ BROADCAST_WINDOWS = 500_000  # 16 MB
 BROADCAST_IDS = 1_000_000  # 8 MB
 
 # Placeholders: letters without case that no supported text uses.
-NAME, NUMBER, UNIT = "ꓠ", "ꓳ", "ꓴ"
+NAME, NUMBER, UNIT, POINT = "ꓠ", "ꓳ", "ꓴ", "ꓒ"
+GROUP = r"(?<=[0-9])[.,'’_\u00a0\u2009\u202f](?=[0-9])"
 # Fixed list of units.
 UNITS = "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|miles|mile|ft|feet|inches|inch|l|ml|litres|liters|s|sec|seconds|min|minutes|h|hours|hour|days|day|weeks|week|years|year|mph|kmh|euros|euro|dollars|dollar|eur|usd|cents|percent"
 
 
-def _words(text: Column, surfaces: bool) -> Column:
-    """The words of a text with placeholders, followed by the surface in lower case if that is asked for. Both forms have equally many words."""
-    own, kept = ("$0", "[0-9]*") if surfaces else ("", "")
-    named = F.lower(F.regexp_replace(text, r"(?<=[\p{Ll}0-9,;] )\p{Lu}\p{Ll}+", NAME + own))
-    counted = F.regexp_replace(named, "[0-9]+", NUMBER + own)
+def _words(text: Column, surfaces: bool, form: str = "inside") -> Column:
+    """The words of a text with placeholders, followed by the surface in lower case if that is asked for. Both have equally many words."""
+    own, kept = ("$0", f"[0-9{POINT}]*") if surfaces else ("", "")
+    joined = text if form == "inside" else F.regexp_replace(text, GROUP, POINT)
+    name = r"(?<![\p{L}\p{M}0-9])\p{Lu}[\p{L}\p{M}]*" if form == "open" else r"(?<=[\p{Ll}0-9,;] )\p{Lu}\p{Ll}+"
+    named = F.lower(F.regexp_replace(joined, name, NAME + own))
+    counted = F.regexp_replace(named, f"[0-9]+(?:{POINT}[0-9]+)*", NUMBER + own)
     measured = F.regexp_replace(counted, rf"({NUMBER}{kept}) ?(?:({UNITS})(?![\p{{L}}\p{{M}}0-9])|%)", f"$1 {UNIT}" + ("$2" if surfaces else ""))
     return F.split(F.trim(F.regexp_replace(measured, r"[^\p{L}\p{M}0-9]+", " ")), " ")
 
 
+def _surface(text: Column, between: str) -> Column:
+    return F.filter(F.split(F.lower(text), between), lambda w: w != "")
+
+
 def _is_slot(word: Column) -> Column:
     return F.substring(word, 1, 1).isin(NAME, NUMBER, UNIT)
 
@@ -49,14 +63,14 @@ def _window_hash(size: int):
     return lambda i: F.xxhash64(F.slice("words", i, size))
 
 
-def _windows(rows: DataFrame, sizes: list[int]) -> DataFrame:
-    """rows (id, text) to (id, size, pos, hash): every window of each size, from word 1 on."""
-    hashed = rows.select("id", F.transform(_words(F.col("text"), False), lambda w: F.xxhash64(w)).alias("words"))
+def _windows(rows: DataFrame, words: Column, sizes: list[int]) -> DataFrame:
+    """rows (doc_id, text) to (doc_id, size, pos, hash): every window of each size, from word 1 on."""
+    hashed = rows.select("doc_id", F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
     out = None
     for size in sizes:
         count = F.size("words") - (size - 1)
         each = F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), _window_hash(size)))
-        one = hashed.select("id", F.lit(size).alias("size"), F.posexplode(each).alias("pos", "hash")).withColumn("pos", F.col("pos") + 1)
+        one = hashed.select("doc_id", F.lit(size).alias("size"), F.posexplode(each).alias("pos", "hash")).withColumn("pos", F.col("pos") + 1)
         out = one if out is None else out.union(one)
     return out
 
@@ -69,39 +83,83 @@ def _slots(words: str, pos: Column, size: Column) -> Column:
     return F.filter(F.slice(F.col(words), pos, size), _is_slot)
 
 
-def benchmark_windows(items: DataFrame) -> DataFrame:
-    """item_id, size, ipos, hash, pattern of the slots, and the item's number of windows; written, as it is used twice."""
-    rows = text_rows(items, "item_id").select(F.col("doc_id").alias("item_id"), F.monotonically_increasing_id().alias("copy"), "text")
-    rows = materialise(rows.select("item_id", "copy", _words(F.col("text"), False).alias("plain"), _words(F.col("text"), True).alias("full")), "items")
+def _hash_of(words: Column) -> Column:
+    return F.xxhash64(F.transform(words, lambda w: F.xxhash64(w)))
+
+
+def _sizes(side: DataFrame) -> list[int]:
+    return sorted(r["size"] for r in side.select("size").distinct().collect())  # at most WINDOW values
+
+
+def _small(df: DataFrame, most: int) -> DataFrame:
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
+
+
+def benchmark_windows(rows: DataFrame, form: str) -> DataFrame:
+    """item_id, copy, size, ipos, hash, pattern of the slots, and the item's number of windows; written, as it is used twice."""
+    rows = materialise(rows.select("item_id", "copy", _words(F.col("text"), False, form).alias("plain"), _words(F.col("text"), True, form).alias("full")), "items")
     size = F.least(F.size("plain"), F.lit(WINDOW))
     each = rows.where(F.size("plain") >= MIN_WORDS).withColumn("size", size).withColumn("ipos", F.explode(F.sequence(F.lit(1), F.size("plain") - F.col("size") + 1)))
     window = F.slice("plain", F.col("ipos"), F.col("size"))
-    hashes = F.xxhash64(F.transform(window, lambda w: F.xxhash64(w)))
     literal = F.size(F.filter(window, lambda w: ~_is_slot(w)))
-    found = each.where(2 * literal >= F.col("size")).select("item_id", "copy", "size", "ipos", hashes.alias("hash"), _pattern(_slots("full", F.col("ipos"), F.col("size"))).alias("pattern"))
+    found = each.where(2 * literal >= F.col("size")).select("item_id", "copy", "size", "ipos", _hash_of(window).alias("hash"), _pattern(_slots("full", F.col("ipos"), F.col("size"))).alias("pattern"))
     total = found.groupBy("item_id", "copy").agg(F.count("*").alias("item_windows"))
     return materialise(found.join(total, ["item_id", "copy"]), "item-windows")
 
 
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """A row for each document and item it holds: doc_id, item_id, n_windows, item_windows, coverage, first_word."""
-    wanted = benchmark_windows(items)
-    sizes = sorted(r["size"] for r in wanted.select("size").distinct().collect()) or [WINDOW]  # at most WINDOW values
-    rows = text_rows(docs).where("doc_id is not null")
-    side = wanted.select("size", "hash", "item_id", "copy", "ipos", "item_windows", "pattern")
-    side = F.broadcast(side) if side.count() <= BROADCAST_WINDOWS else side
-    found = materialise(_windows(rows.withColumnRenamed("doc_id", "id"), sizes).join(side, ["size", "hash"]).withColumnRenamed("id", "doc_id"), "matches")
+def _held(rows: DataFrame, wanted: DataFrame, form: str) -> DataFrame:
+    """A row for each document and item it holds in one form."""
+    sizes = _sizes(wanted) or [WINDOW]
+    side = _small(wanted.select("size", "hash", "item_id", "copy", "ipos", "item_windows", "pattern"), BROADCAST_WINDOWS)
+    found = materialise(_windows(rows, _words(F.col("text"), False, form), sizes).join(side, ["size", "hash"]), "matches")
     # Windows with two slots or more are held against the document's surfaces; one slot is always filled alike.
     slotted = F.size("pattern") > 1
-    to_test = materialise(found.where(slotted).select("doc_id").distinct(), "slotted")
-    to_test = F.broadcast(to_test) if to_test.count() <= BROADCAST_IDS else to_test.hint("merge")
-    surfaces = rows.join(to_test, "doc_id", "left_semi").select("doc_id", _words(F.col("text"), True).alias("full"))
+    to_test = _small(materialise(found.where(slotted).select("doc_id").distinct(), "slotted"), BROADCAST_IDS)
+    surfaces = rows.join(to_test, "doc_id", "left_semi").select("doc_id", _words(F.col("text"), True, form).alias("full"))
     tested = found.where(slotted).join(surfaces, "doc_id").where(_pattern(_slots("full", F.col("pos"), F.col("size"))) == F.col("pattern"))
     columns = ["doc_id", "item_id", "copy", "ipos", "pos", "item_windows"]
     alike = found.where(~slotted).select(columns).union(tested.select(columns))
     per_window = alike.groupBy("doc_id", "item_id", "copy", "item_windows", "ipos").agg(F.min("pos").alias("pos"))
     held = per_window.groupBy("doc_id", "item_id", "copy", "item_windows").agg(F.count("*").alias("n_windows"), F.min("pos").cast("long").alias("first_word"))
-    held = held.where(F.col("n_windows") >= F.least("item_windows", F.lit(MIN_WINDOWS)))
+    return held.where(F.col("n_windows") >= F.least("item_windows", F.lit(MIN_WINDOWS)))
+
+
+def _held_exactly(rows: DataFrame, items: DataFrame, between: str) -> DataFrame | None:
+    """The same for whole items (item_id, copy, text): their first words are joined, and the rest of longer ones compared."""
+    words = items.select("item_id", "copy", _surface(F.col("text"), between).alias("words")).where(F.size("words") > 0)
+    size = F.least(F.size("words"), F.lit(WINDOW))
+    keyed = words.select("item_id", "copy", F.size("words").alias("length"), size.alias("size"), _hash_of(F.slice("words", F.lit(1), size)).alias("hash"), _hash_of(F.col("words")).alias("whole"))
+    keyed = materialise(keyed, "exact-items")
+    sizes = _sizes(keyed)
+    if not sizes:
+        return None
+    found = materialise(_windows(rows, _surface(F.col("text"), between), sizes).join(_small(keyed, BROADCAST_WINDOWS), ["size", "hash"]), "exact-matches")
+    longer = F.col("length") > F.col("size")
+    to_test = _small(materialise(found.where(longer).select("doc_id").distinct(), "exact-longer"), BROADCAST_IDS)
+    texts = rows.join(to_test, "doc_id", "left_semi").select("doc_id", _surface(F.col("text"), between).alias("words"))
+    tested = found.where(longer).join(texts, "doc_id").where(_hash_of(F.slice("words", F.col("pos"), F.col("length"))) == F.col("whole"))
+    columns = ["doc_id", "item_id", "copy", "pos"]
+    held = found.where(~longer).select(columns).union(tested.select(columns)).groupBy("doc_id", "item_id", "copy").agg(F.min("pos").cast("long").alias("first_word"))
+    return held.withColumn("n_windows", F.lit(1).cast("long")).withColumn("item_windows", F.lit(1).cast("long"))
+
+
+def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """A row for each document and item it holds: doc_id, item_id, n_windows, item_windows, coverage, first_word."""
+    rows = text_rows(docs).where("doc_id is not null")
+    own = materialise(text_rows(items, "item_id").select(F.col("doc_id").alias("item_id"), F.monotonically_increasing_id().alias("copy"), "text"), "benchmark")
+    inside = benchmark_windows(own, "inside")
+    parts = [_held(rows, inside, "inside")]
+    safe = inside.where(F.col("item_windows") >= MIN_WINDOWS + 2).select("item_id", "copy").distinct()
+    rest = materialise(own.join(safe, ["item_id", "copy"], "left_anti"), "few-windows")
+    worded = F.col("text").rlike(r"[\p{L}\p{M}\p{N}]")
+    parts += [_held_exactly(rows, rest.where(worded), r"[^\p{L}\p{M}\p{N}]+"), _held_exactly(rows, rest.where(~worded), r"\s+")]
+    figures = ["n_windows", "item_windows", "first_word"]
+    held = None
+    for rank, part in enumerate(parts):
+        if part is not None:
+            one = part.select("doc_id", "item_id", "copy", F.struct(F.lit(rank).alias("rank"), *figures).alias("best"))
+            held = one if held is None else held.union(one)
+    held = held.groupBy("doc_id", "item_id", "copy").agg(F.min("best").alias("best")).select("doc_id", "item_id", "best.*")
     return held.select("doc_id", "item_id", "n_windows", "item_windows", (F.col("n_windows") / F.col("item_windows")).alias("coverage"), "first_word")
 
 

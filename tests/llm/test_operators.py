@@ -271,6 +271,16 @@ def test_decontaminate(spark, docs, none):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_decontaminate_short_and_slot_heavy_items(spark):
+    texts = ["What is 37 + 45 * 12?", "Compute 12 + 7 * 3 - 4 / 2 = ?", "Sort 3, 9, 4, 12, 7, 1, 8, 30, 22, 15", "Solve 3x + 5y = 17, x - y = 1", "Capital of France?", "Maria", "+ ? =", "٣ + ٤", "", " "]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    rows = [(i, f"It was said, {t} " + PROSE) for i, t in enumerate(texts)] + [(20, "Sort 3, 9, 4, 12, 7, 1, 8, 30, 22, 16"), (21, "What is 38 + 45 * 12?"), (22, "of capital France"), (23, None), (24, "+ =")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs, items).collect()}
+    assert set(got) == {(i, i) for i in range(8)} and all(r.coverage == 1 for r in got.values())
+    assert sorted(r.doc_id for r in decontaminate.without_leaks(docs, items).collect()) == [8, 9, 20, 21, 22, 23, 24]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
