@@ -6,9 +6,11 @@ hash-joined with those of the benchmark. A window with several slots must also f
 surface in the document exactly where they have in the item, so a question with other numbers matches and a shuffled one
 doesn't. A document holds an item if it has at least ``MIN_WINDOWS`` of the item's windows, or all if there are fewer.
 
-Texts are read in up to two forms, and a pair's figures are those of the first that finds it:
+Texts are read in up to four forms, and a pair's figures are those of the first that finds it:
 
 * ``inside``: as above, each run of digits a number;
+* ``grouped``: a number is one placeholder with its group and decimal separators (not a plain space);
+* ``open``: so, and every capitalized word is a name, also where a text, sentence, line or quotation begins;
 * ``exact``: surface words, numbers and names kept, and the whole item as one key. This is for items with fewer than
   MIN_WINDOWS + 2 windows inside (what stands around a copy can change its first and last word there).
 
@@ -16,7 +18,7 @@ Only DataFrame functions are used. The item windows are broadcast if there are a
 the same join shuffles.
 
 Defined cases: a null or blank text has no words and no windows; an item of fewer than WINDOW words is one window of its own
-length inside, and of fewer than MIN_WORDS words none; windows with fewer literal words than placeholders
+length in the first three forms, and of fewer than MIN_WORDS words none; windows with fewer literal words than placeholders
 are left out there. Such items are found by their exact form alone, however short: an item of one word is held by every
 document with that word. An item without letters and digits is its marks between white space; equal items each give their rows; repeated documents with one id count once; empty tables give
 no rows; other columns are ignored by ``leaks`` and kept by ``without_leaks``.
@@ -149,6 +151,10 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     own = materialise(text_rows(items, "item_id").select(F.col("doc_id").alias("item_id"), F.monotonically_increasing_id().alias("copy"), "text"), "benchmark")
     inside = benchmark_windows(own, "inside")
     parts = [_held(rows, inside, "inside")]
+    # Without such numbers on either side this form is the first one.
+    grouped = rows if not own.where(F.col("text").rlike(GROUP)).isEmpty() else rows.where(F.col("text").rlike(GROUP))
+    parts.append(_held(grouped, benchmark_windows(own, "grouped"), "grouped"))
+    parts.append(_held(rows, benchmark_windows(own, "open"), "open"))
     safe = inside.where(F.col("item_windows") >= MIN_WINDOWS + 2).select("item_id", "copy").distinct()
     rest = materialise(own.join(safe, ["item_id", "copy"], "left_anti"), "few-windows")
     worded = F.col("text").rlike(r"[\p{L}\p{M}\p{N}]")

@@ -281,6 +281,18 @@ def test_decontaminate_short_and_slot_heavy_items(spark):
     assert sorted(r.doc_id for r in decontaminate.without_leaks(docs, items).collect()) == [8, 9, 20, 21, 22, 23, 24]
 
 
+def test_decontaminate_other_numbers_and_leading_names(spark):
+    texts = ["Maria buys 3 pens for 2 dollars each. Maria gives 1 pen to Tom.", "Maria has 12 apples. Maria eats 3 apples. Maria sells 4 apples. How many remain?", "A shop sold 900 loaves at 2 euros and 30 rolls at 1 euro, how much did it take in all?"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    copies = [
+        "Elena buys 5 pens for 4 dollars each. Elena gives 2 pen to Raj.", "\"Elena has 1,250 apples. Elena eats 7.5 apples. Elena sells 40 apples. How many remain?\"",
+        "A shop sold 1,250 loaves at 2.50 euros and 40 rolls at 0.75 euro, how much did it take in all?", "Today a shop sold 1\u00a0250 loaves at 2,50 euros and 40 rolls at 0,75 euro, how much did it take in all?",
+        "Elena has 12 apples. Raj eats 3 apples. Carl sells 4 apples. How many remain?",
+    ]
+    docs = spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()} == {(0, 0), (1, 1), (2, 2), (3, 2)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
