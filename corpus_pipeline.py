@@ -9,14 +9,17 @@ from glyphloom.llm.queries import tokenizer_file
 from glyphloom.llm.shared import materialise, table
 
 
+NEAR_SHARE = 80  # of a hundred word shingles
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the corpus teaches; letterless and foreign texts go."""
     return language.in_known_language(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of near copies."""
-    return near_dup.one_of_each(docs)
+    """The smallest id of each group of near copies, alike by 0.8 or more."""
+    return near_dup.one_of_each(docs, NEAR_SHARE)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,16 +7,17 @@ registers that hold at least its number, so all levels after the first that ever
 
 Equal sets form a class; only a class's smallest document goes on. Bands put classes in buckets. In a bucket every member
 is held against the leader (its smallest member), then those outside its component against TARGETS more members. Every pair
-of a bucket that the components still don't join is held against each other too, unless its parities rule it out or fewer
-than MIN_ALIKE of its registers agree in four bits; so no candidate pair goes untested but those whose answer cannot change a
+of a bucket that the components still don't join is held against each other too, unless its parities rule it out or too few
+of its registers agree in four bits; so no candidate pair goes untested but those whose answer cannot change a
 component. Verification intersects the full sets.
 
 The parities of a set are PARITIES bits, each saying whether an odd number of elements hash to it. Where those of two sets
 differ there is an element in only one of them, so the number of differing bits never exceeds the symmetric difference, and a
 pair with more than its similarity allows is no link for certain.
 
-With BANDS x ROWS registers a pair at similarity 0.85 shares no bucket with probability (1 - 0.85^ROWS)^BANDS, 4e-7, and has
-fewer than MIN_ALIKE (six standard deviations below the mean) with 1e-8.
+The share that links is a parameter of ``components`` and ``one_of_each``; bands and registers follow from it (``Plan``). At 0.85
+a pair at that similarity shares no bucket with probability (1 - 0.85^ROWS)^bands, 4e-7, and has fewer registers alike than are
+asked for with 3e-8; at other shares the bounds are MISSED and UNLIKE.
 
 Defined cases: a document without words (null, empty or white space) has an empty set, is its own component and kept; equal
 rows are one class; rows that share a doc_id count as linked; an empty table gives no rows; other columns are ignored by
@@ -25,7 +26,10 @@ rows are one class; rows that share a doc_id count as linked; an empty table giv
 
 from __future__ import annotations
 
+import math
 import struct
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +39,11 @@ from pyspark.sql import functions as F
 
 from glyphloom.llm.shared import materialise, release, text_rows
 
-BANDS, ROWS = 25, 5
-REGISTERS = BANDS * ROWS
+ROWS = 5
 SHINGLE = 5
 MIN_SHARE = 85  # of a hundred
+MISSED, UNLIKE = 5e-7, 3e-8
 TARGETS = 4
-MIN_ALIKE = 84  # registers
 PARITIES = 1024  # bits
 BROADCAST_IDS = 1_000_000  # 8 MB of ids; beyond that they are shuffled
 
@@ -54,6 +57,32 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _COLUMN = _rng.integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+@dataclass(frozen=True)
+class Plan:
+    """What follows from the share of a hundred that links: bands, registers, and how many of these a link has alike."""
+
+    share: int
+
+    @property
+    def bands(self) -> int:
+        return max(1, math.ceil(math.log(MISSED) / math.log1p(-((min(self.share, 99) / 100) ** ROWS))))
+
+    @property
+    def registers(self) -> int:
+        return self.bands * ROWS
+
+    @property
+    def alike(self) -> int:
+        """The largest number that a pair at the share stays below with at most UNLIKE."""
+        p = min(self.share, 99) / 100
+        n, p, tail = self.registers, p + (1 - p) / 16, 0.0  # different registers have the same four bits once in 16
+        for k in range(n):
+            tail += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+            if tail > UNLIKE:
+                return k
+        return n
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -90,19 +119,19 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def signature(elements: np.ndarray) -> np.ndarray:
-    """SuperMinHash over distinct element hashes (at least one)."""
-    n, registers = len(elements), np.full(REGISTERS, np.inf)
+def signature(elements: np.ndarray, size: int) -> np.ndarray:
+    """SuperMinHash of so many registers over distinct element hashes (at least one)."""
+    n, registers = len(elements), np.full(size, np.inf)
     rows, places = np.arange(n), None
-    for level in range(REGISTERS):
+    for level in range(size):
         seed = elements + np.uint64(int(_G) * (2 * level + 1) & (1 << 64) - 1)
         value = (mix(seed) >> np.uint64(11)) * 2.0**-53 + level
-        other = (mix(seed + _G) % np.uint64(REGISTERS - level)).astype(np.int64) + level
+        other = (mix(seed + _G) % np.uint64(size - level)).astype(np.int64) + level
         if level == 0:
             register, swap = other, other
         else:
             if places is None:
-                places = np.broadcast_to(np.arange(REGISTERS, dtype=np.uint8), (n, REGISTERS)).copy()
+                places = np.broadcast_to(np.arange(size, dtype=np.uint8 if size <= 256 else np.uint16), (n, size)).copy()
                 places[rows, 0], places[rows, swap] = places[rows, swap], places[rows, 0].copy()
             register = places[rows, other]
             places[rows, other] = places[:, level]
@@ -113,14 +142,14 @@ def signature(elements: np.ndarray) -> np.ndarray:
 
 
 def bands_of(registers: np.ndarray) -> np.ndarray:
-    raw = mix(registers.view(np.uint64)).reshape(BANDS, ROWS)
-    return mix((raw * _COLUMN).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _G).view(np.int64)
+    raw = mix(registers.view(np.uint64)).reshape(-1, ROWS)
+    return mix((raw * _COLUMN).sum(1, dtype=np.uint64) + np.arange(len(raw), dtype=np.uint64) * _G).view(np.int64)
 
 
 def nibbles_of(registers: np.ndarray) -> np.ndarray:
     """Four bits of each register, sixteen registers a long."""
-    four = np.zeros(-(-REGISTERS // 16) * 16, np.uint64)
-    four[:REGISTERS] = mix(registers.view(np.uint64)) >> np.uint64(60)
+    four = np.zeros(-(-len(registers) // 16) * 16, np.uint64)
+    four[: len(registers)] = mix(registers.view(np.uint64)) >> np.uint64(60)
     return (four.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(1, dtype=np.uint64).view(np.int64)
 
 
@@ -130,18 +159,18 @@ def parities_of(elements: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _may_link(odd_one: str, odd_two: str, size_one: str, size_two: str) -> Column:
+def _may_link(share: int, odd_one: str, odd_two: str, size_one: str, size_two: str) -> Column:
     """False only where the parities prove that the symmetric difference is too large."""
     least = F.lit(0)
     for i in range(PARITIES // 64):
         least = least + F.bit_count(F.col(odd_one)[i].bitwiseXOR(F.col(odd_two)[i]))
-    return least * (100 + MIN_SHARE) <= (100 - MIN_SHARE) * (F.col(size_one) + F.col(size_two))
+    return least * (100 + share) <= (100 - share) * (F.col(size_one) + F.col(size_two))
 
 
-def _differing(one: str, two: str) -> Column:
+def _differing(registers: int, one: str, two: str) -> Column:
     """How many registers differ in their four bits."""
     total = F.lit(0)
-    for i in range(-(-REGISTERS // 16)):
+    for i in range(-(-registers // 16)):
         x = F.col(one)[i].bitwiseXOR(F.col(two)[i])
         any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
         total = total + F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
@@ -165,23 +194,26 @@ def _in_pieces(batch, most: int = 1 << 19):
         yield ids, texts
 
 
-def _sketch(batches):
-    for batch in batches:
-        for ids, texts in _in_pieces(batch):
-            known: dict[bytes, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-            keys, sizes, bands, nibbles, parities = [], [], [], [], []
-            for doc_id, s in zip(ids, shingle_sets(texts), strict=True):
-                key = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else struct.pack(">q", doc_id or 0)
-                if len(s) and key not in known:
-                    registers = signature(s)
-                    known[key] = (bands_of(registers), nibbles_of(registers), parities_of(s))
-                keys.append(key)
-                sizes.append(len(s))
-                bands.append(known[key][0] if len(s) else [])
-                nibbles.append(known[key][1] if len(s) else [])
-                parities.append(known[key][2] if len(s) else [])
-            longs = [pa.array(x, pa.list_(pa.int64())) for x in (bands, nibbles, parities)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), *longs], schema=_SKETCH)
+def _sketch(registers: int) -> Callable:
+    def sketch(batches):
+        for batch in batches:
+            for ids, texts in _in_pieces(batch):
+                known: dict[bytes, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+                keys, sizes, bands, nibbles, parities = [], [], [], [], []
+                for doc_id, s in zip(ids, shingle_sets(texts), strict=True):
+                    key = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else struct.pack(">q", doc_id or 0)
+                    if len(s) and key not in known:
+                        own = signature(s, registers)
+                        known[key] = (bands_of(own), nibbles_of(own), parities_of(s))
+                    keys.append(key)
+                    sizes.append(len(s))
+                    bands.append(known[key][0] if len(s) else [])
+                    nibbles.append(known[key][1] if len(s) else [])
+                    parities.append(known[key][2] if len(s) else [])
+                longs = [pa.array(x, pa.list_(pa.int64())) for x in (bands, nibbles, parities)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), *longs], schema=_SKETCH)
+
+    return sketch
 
 
 def _sets(batches):
@@ -190,7 +222,7 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.view(np.int64) for s in shingle_sets(texts)], pa.list_(pa.int64()))], names=["node", "elements"])
 
 
-def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(rows: DataFrame, pairs: DataFrame, share: int) -> DataFrame:
     """Of the pairs (a, b), those whose full sets share enough; written."""
     pairs = materialise(pairs, "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -200,7 +232,7 @@ def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     one, two = sets.select(F.col("node").alias("b"), F.col("elements").alias("two")), sets.select(F.col("node").alias("a"), F.col("elements").alias("one"))
     both = pairs.join(one.hint("merge"), "b").join(two.hint("merge"), "a")
     shared = F.size(F.array_intersect("one", "two"))
-    links = materialise(both.where(100 * shared >= MIN_SHARE * (F.size("one") + F.size("two") - shared)).select("a", "b"), "links")
+    links = materialise(both.where(100 * shared >= share * (F.size("one") + F.size("two") - shared)).select("a", "b"), "links")
     for used in (pairs, nodes, sets):
         release(used)
     return links
@@ -247,17 +279,18 @@ def _joined(stars: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(connected(links.union(stars.select(F.col("component").alias("a"), F.col("node").alias("b")))), "components")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_share: int = MIN_SHARE) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document; sets that share ``min_share`` of a hundred are linked."""
+    plan = Plan(min_share)
     rows = text_rows(docs, id_col, text_col)
-    sketches = materialise(rows.mapInArrow(_sketch, "doc_id long, key binary, n_shingles long, bands array<long>, nibbles array<long>, parities array<long>"), "sketches")
+    sketches = materialise(rows.mapInArrow(_sketch(plan.registers), "doc_id long, key binary, n_shingles long, bands array<long>, nibbles array<long>, parities array<long>"), "sketches")
     classes = materialise(sketches.groupBy("key").agg(F.min("doc_id").alias("node")), "classes")
     chosen = sketches.where("n_shingles > 0").join(classes.hint("merge"), (sketches["key"] == classes["key"]) & (sketches["doc_id"] == classes["node"]), "left_semi")
     buckets = materialise(chosen.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band")).distinct(), "buckets")
     leaders = materialise(buckets.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("members")).where("members > 1"), "leaders")
     members = materialise(buckets.join(leaders.hint("merge"), "band"), "members")
     release(buckets)
-    links = _verified(rows, members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
+    links = _verified(rows, members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), min_share)
     stars = materialise(connected(links), "components")
 
     seen = _labelled(members.where("members > 2"), stars)
@@ -265,7 +298,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     mixed = seen.where("component <> main").select("band").distinct()
     targets = materialise(seen.join(mixed, "band", "left_semi").groupBy("band").agg(*spots).select("band", F.explode(F.array(*[f"t{i}" for i in range(TARGETS)])).alias("t")).select("band", "t.target", "t.other").distinct(), "targets")
     tries = seen.where("component <> main").join(targets.hint("merge"), "band").where("component <> other")
-    stars = _joined(stars, _verified(rows, tries.select(F.least("node", "target").alias("a"), F.greatest("node", "target").alias("b")).distinct()))
+    stars = _joined(stars, _verified(rows, tries.select(F.least("node", "target").alias("a"), F.greatest("node", "target").alias("b")).distinct(), min_share))
 
     # Pairs of one bucket that are in different components: at least one is outside the leader's.
     release(seen)
@@ -274,9 +307,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     signs = materialise(chosen.select(F.col("doc_id").alias("node"), "nibbles", "parities", "n_shingles").join(seen.join(apart.select("band").distinct(), "band", "left_semi").select("node").distinct().hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "signs")
     apart = apart.join(signs.hint("merge"), "node").select("band", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("nibbles").alias("sx"), F.col("parities").alias("px"), F.col("n_shingles").alias("nx"))
     others = seen.where("node <> leader").join(signs.hint("merge"), "node").select("band", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("nibbles").alias("sy"), F.col("parities").alias("py"), F.col("n_shingles").alias("ny"), (F.col("component") == F.col("main")).alias("in_main"))
-    alike = F.expr("cx <> cy and (in_main or x < y)") & _may_link("px", "py", "nx", "ny") & (_differing("sx", "sy") <= REGISTERS - MIN_ALIKE)
+    alike = F.expr("cx <> cy and (in_main or x < y)") & _may_link(min_share, "px", "py", "nx", "ny") & (_differing(plan.registers, "sx", "sy") <= plan.registers - plan.alike)
     rest = materialise(apart, "apart").join(materialise(others, "others").hint("merge"), "band").where(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    stars = _joined(stars, _verified(rows, rest))
+    stars = _joined(stars, _verified(rows, rest, min_share))
 
     labels = stars.where("node <> component")
     by_class = materialise(classes.join(labels.hint("merge"), "node", "left").select("key", F.coalesce("component", "node").alias("component_id")), "class-components")
@@ -287,9 +320,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, min_share: int = MIN_SHARE) -> DataFrame:
     """The documents that ``components`` keeps, one row an id, with all their columns. Only rows of ids that occur twice are shuffled."""
-    found = materialise(components(docs), "found")
+    found = materialise(components(docs, min_share=min_share), "found")
     own = F.col("doc_id").cast("long")
     without = lambda df, ids: df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge"), own.eqNullSafe(F.col("_id")), "left_anti")
     dropped = materialise(found.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct(), "dropped")

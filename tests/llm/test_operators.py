@@ -195,6 +195,18 @@ def test_near_dup(spark, docs, none):
     assert near_dup.components(none).count() == 0
 
 
+def test_near_dup_share(spark):
+    import corpus_pipeline
+
+    at_85, at_80 = near_dup.Plan(85), near_dup.Plan(80)
+    assert (at_85.bands, at_85.registers, at_85.alike) == (25, 125, 84) and (1 - 0.8**near_dup.ROWS) ** at_80.bands < 5e-7
+    base = [f"w{i}" for i in range(104)]  # 100 shingles
+    texts = [" ".join(base)] + [" ".join(base[: 104 - n] + [f"x{n}-{i}" for i in range(n)]) for n in (10, 12)]  # shared 90/110 and 88/112
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_dup.one_of_each(docs).collect()) == [0, 1, 2]
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()) == [0, 2]
+
+
 def test_parities_bound_the_symmetric_difference():
     rng = np.random.default_rng(7)
     for n in (1, 5, 140, 5000):
