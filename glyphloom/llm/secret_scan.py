@@ -1,6 +1,8 @@
 """Secret scanning: three fixed patterns, and a randomness test battery for what the patterns miss.
 
-The battery looks at runs of at least ``MIN_RUN`` characters of ``[A-Za-z0-9+/_=-]``. The narrowest encoding that holds all
+The battery looks at runs of at least ``MIN_RUN`` characters of ``[A-Za-z0-9+/_-]`` with their trailing ``=``, so a key glued to
+its name by ``=`` is a run of its own. A run that mixes ``+`` or ``/`` with ``_`` or ``-`` fits no encoding; its maximal stretches over each
+alphabet are tested instead, their p-values multiplied by how many there are, and the likeliest that don't overlap are kept. The narrowest encoding that holds all
 of a run's characters is inferred (hexadecimal, Crockford-like base 32, base 36, base 62, base 64; letters of one case and
 digits alone are words and numbers, not encodings). Against that encoding's alphabet it takes
 
@@ -40,7 +42,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "random")
 
 MIN_RUN = 20
-RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
+PADDING = 6  # base 32 has the most
+RUN = re.compile(rf"[A-Za-z0-9+/_-]{{{MIN_RUN - PADDING},}}={{0,{PADDING}}}")
 VETO = 1e-4
 CLASS_CHANGE = 0.08
 FALSE_DISCOVERY = 0.01
@@ -49,6 +52,7 @@ P_STEP, P_CELLS = 10, 400  # tenths of a power of ten
 
 # Encodings from narrow to wide: the characters, as a regex class, and how many.
 ENCODINGS = (("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+"), 16), ("base32", re.compile(r"[A-Z2-7]+"), 32), ("base36", re.compile(r"[0-9a-z]+|[0-9A-Z]+"), 36), ("base62", re.compile(r"[0-9A-Za-z]+"), 62), ("base64", re.compile(r"[0-9A-Za-z+/]+|[0-9A-Za-z_-]+"), 64))
+STRETCHES = tuple(re.compile(f"{chars}{{{MIN_RUN - PADDING},}}={{0,{PADDING}}}") for chars in ("[0-9a-f]", "[0-9A-F]", "[A-Z2-7]", "[0-9a-z]", "[0-9A-Z]", "[0-9A-Za-z]", "[0-9A-Za-z+/]", "[0-9A-Za-z_-]"))
 PLAIN = re.compile(r"[0-9]+|[a-z]+|[A-Z]+|[A-Z][a-z]+")
 
 
@@ -130,13 +134,28 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _tested(run: str) -> list[tuple[int, int, float]]:
+    """(start, end, p) of a run, or of the stretches of one that mixes alphabets."""
+    if not (re.search(r"[+/]", run) and re.search(r"[_-]", run)):
+        return [(0, len(run), battery(run))]
+    spans = sorted({m.span() for form in STRETCHES for m in form.finditer(run) if len(m[0]) >= MIN_RUN})
+    out: list[tuple[int, int, float]] = []
+    for p, _, a, b in sorted((min(1.0, len(spans) * battery(run[a:b])), a - b, a, b) for a, b in spans):
+        if not any(s < b and a < e for s, e, _ in out):
+            out.append((a, b, p))
+    return sorted(out) or [(0, len(run), 1.0)]
+
+
 def runs(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(start, end, length cell, p cell) of the runs outside the base spans that look like encodings or not; p cell 0 is p = 1."""
     out = []
     for m in RUN.finditer(text):
-        a, b = m.span()
-        if not any(s < b and a < e for s, _, e in base):
-            out.append((a, b, min((b - a) // LENGTH_STEP, LENGTH_CELLS - 1), min(P_CELLS - 1, int(-math.log10(max(battery(m.group()), 1e-300)) * P_STEP))))
+        if len(m[0]) < MIN_RUN:
+            continue
+        for a, b, p in _tested(m[0]):
+            a, b = a + m.start(), b + m.start()
+            if not any(s < b and a < e for s, _, e in base):
+                out.append((a, b, min((b - a) // LENGTH_STEP, LENGTH_CELLS - 1), min(P_CELLS - 1, int(-math.log10(max(p, 1e-300)) * P_STEP))))
     return out
 
 

@@ -134,6 +134,17 @@ def test_secret_scan(spark, docs, none):
     assert clean[100] == "see <random> here" and clean[1] == PROSE and clean[3] is None
 
 
+def test_secret_scan_glued_and_mixed_runs():
+    rng = random.Random(8)
+    draw = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    b62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key, mixed = draw(b62, 40), draw(b62 + "+/", 64)
+    for text, own in ((f"aws_secret_access_key={key}", key), (f"AWS_KEY={key} x", key), (f"sig={key}&x=1", key), (f"k={key}== x", key + "=="), (f"my_app_name_{mixed}", mixed)):
+        found = [(text[a:b], p) for a, b, _, p in secret_scan.runs(text, [])]
+        assert any(own == t and p > 50 for t, p in found), found
+    assert all(p < 20 for _, _, _, p in secret_scan.runs("internationalisation-of-everything/else_where=nothing-in_particular/at_all_here", []))
+
+
 def test_language(spark, docs, none):
     base = {"aa": "kalo mire tuno sabe", "bb": "xqz vrkt wmpl ghdf"}
     rng = random.Random(1)
