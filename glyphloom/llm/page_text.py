@@ -7,7 +7,8 @@ down once, which on a tree gives exact marginals; text belongs to its nearest no
 is at least one half.
 
 All potentials are smoothed counts over labelled pages: ``labelled_pages`` writes them, a fixed number of varied layouts whose
-blocks are labelled by construction (no page of the table is looked at). Scripts, styles, forms and the like hold no text.
+blocks are labelled by construction (no page of the table is looked at). Scripts, styles, templates, forms and their controls
+hold no text; formulas, drawings, media and what stands in for them are judged as all else is.
 
 Defined cases: a null or empty html, and a page without content, gives an empty text; unclosed and stray tags are closed as
 browsers do for paragraphs, items and cells; repeated rows each get their row; an empty table gives no rows; other columns are
@@ -31,8 +32,8 @@ LABELLED, SEED = 400, 11
 
 # Fixed lists of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = set("script style head template noscript form button select textarea input svg iframe object canvas audio video math".split())
-RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template")
+SILENT = set("script style head template form button select textarea input".split())
+RAW = ("script", "style", "textarea", "title", "template")
 BLOCK = set("html body article aside section nav header footer main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th blockquote pre figure figcaption address details summary dialog menu hgroup fieldset center".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 ENDS_P = BLOCK - {"html", "body"}

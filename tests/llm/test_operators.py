@@ -97,6 +97,14 @@ def test_page_text(spark):
     assert page_text.main_text(rows.limit(0), model).count() == 0
 
 
+def test_page_text_keeps_embedded_text():
+    model = page_text.train()
+    page = "<body><nav><a href=/>x</a></nav><article><h1>Head</h1><p>where <math><mi>mx</mi></math> is real</p><p>see <svg><text>label</text></svg> here</p>{}<form><button>send</button></form></article></body>"
+    tags = ("object", "canvas", "audio", "video", "noscript", "iframe")
+    got = model.extract(page.format("".join(f"<p>then <{t}>in {t}</{t}> follows</p>" for t in tags)))
+    assert all(w in got for w in ("mx", "label", *(f"in {t}" for t in tags))) and "send" not in got and "<" not in got
+
+
 def test_page_marginals_equal_enumeration():
     import itertools
     import math
