@@ -1,39 +1,50 @@
 """SentencePiece encoding and decoding with a weighted finite-state transducer.
 
-The model file gives the pieces, the normaliser's switches and the byte pieces; the transducer is compiled from them once a
-worker. It is the composition of
+The model file gives the pieces, the normaliser's switches and the byte pieces. Three machines are made from them once a worker:
 
-* the normaliser: a dummy prefix and white space to U+2581 (a model with a character map of its own is refused);
-* the pieces: an arc for each piece of the vocabulary over its characters;
-* byte fallback: for a character in no piece, one path of its UTF-8 bytes.
+* the normaliser N: an arc without input that writes U+2581 (the dummy prefix), one from the space to U+2581, and one from
+  every other character to itself (a model with a character map of its own is refused);
+* the pieces P: a tree of character arcs; where a piece is spelled out, an arc back to the root writes its id;
+* byte fallback B: for a character in no piece of its own, an arc from root to root that writes it, later as the ids of its
+  UTF-8 bytes.
 
-Composed with an input this is a lattice, and the output is its shortest path in the tropical semiring (min, +). For a
-byte-pair model the states carry the last piece: the arc from piece a to piece b weighs 0 if merging would leave a next
-to b untouched and infinity if not, which makes exactly one path finite, the one that merging gives. (Scores alone would give
-another, the best-scored segmentation.) No piece has U+2581 after another character, so the lattice falls apart before each
-run of U+2581, and the shortest path is the concatenation of the parts' shortest paths, which are kept in a bounded cache.
+N is composed with the closure of P and B when they are compiled: every arc that reads U+2581 in the tree also gets the raw space
+as its input. ``Transducer.lattice`` composes that machine with an input: its arcs are (start, end, symbol). The weights are a fourth machine
+over pairs of symbols: for a byte-pair model an arc weighs 0 after a symbol that merging would leave untouched next to it and
+``PENALTY`` otherwise. (Scores as weights would give another result, the best-scored segmentation.) The output is the path with the least sum of weights, the tropical semiring's (min, +) shortest distance,
+found place by place: a state is a place and the symbol that ends there, as an arc's weight depends on both. First only arcs of
+weight 0 are relaxed, which is exact if they reach the end, and they do in every text tried; else all are. Of equal paths the one whose last
+symbol is longer stays.
+
+No piece has U+2581 after another character, so the lattice falls apart before each run of U+2581, and the shortest path is the
+concatenation of the parts' shortest paths. Those of short parts are kept in two generations of bounded size.
 
 Defined cases: a null or empty text has no ids; U+2581 in a text reads as a space, as in the library; repeated rows each get
-their row; an empty table gives no rows; other columns, whatever their names, are ignored.
+their row; an empty table gives no rows; other columns, whatever their names, are ignored. A text's ids and its decoded form are held
+whole, one text at a time.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from glyphloom.llm.shared import text_rows
+from glyphloom.llm.shared import Tidy, keep, text_rows
 
 SPACE = "▁"
-CACHE = 200_000
-CACHED_LENGTH = 100  # longer parts are seldom met again
+CACHE = 80_000  # parts in a generation
+SLOTS = 1 << 19  # for weights of pairs
+CACHED_LENGTH = 40  # longer parts are seldom met again
+PENALTY = 1.0
+PLACES = 22  # bits of a symbol: ids, then characters without one
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
-_PARTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+_PARTS = re.compile(f"[{SPACE} ]*[^{SPACE} ]+|[{SPACE} ]+")
 
 
 class Transducer:
@@ -47,31 +58,57 @@ class Transducer:
         if m.trainer_spec.model_type != 2 or spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces or not m.trainer_spec.byte_fallback:
             raise ValueError("only byte-pair models with byte fallback and no character map are supported")
         self.prefix = SPACE if spec.add_dummy_prefix else ""
-        self.pieces = [p.piece for p in m.pieces]
-        self.kinds = [p.type for p in m.pieces]
-        self.score = [p.score for p in m.pieces]
-        self.normal = {p.piece: i for i, p in enumerate(m.pieces) if p.type == NORMAL}
-        if any(SPACE in p.lstrip(SPACE) for p in self.normal):
-            raise ValueError("a piece spans words")
+        kinds = [p.type for p in m.pieces]
+        self.spelling = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else p.piece.encode() if p.type in (NORMAL, USER) else b"" for p in m.pieces]
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == BYTE}
-        order = {v: i for i, v in enumerate(sorted({-self.score[i] for p, i in self.normal.items() if len(p) > 1}))}
-        self.rank = {p: order[-self.score[i]] for p, i in self.normal.items() if len(p) > 1}  # when a merge's turn comes
+        self.names = {i: p.piece for i, p in enumerate(m.pieces) if p.type == NORMAL}
+        if any(SPACE in p.lstrip(SPACE) for p in self.names.values()):
+            raise ValueError("a piece spans words")
+        long = {p: -m.pieces[i].score for i, p in self.names.items() if len(p) > 1}
+        turns = {v: i for i, v in enumerate(sorted(set(long.values())))}
+        self.rank = {p: turns[v] for p, v in long.items()}  # when a merge's turn comes
         self.halves: dict[str, tuple[str, str] | None] = {}
-        self.after: dict[str, dict[str, bool]] = {}  # which piece may follow which
-        self.pairs = 0
-        self.codes: dict[str, bytes] = {}
-        self.spelling = [self._spell(i) for i in range(len(self.pieces))]
-        self.cache: dict[str, bytes] = {}
-        self.tree: dict = {}  # the pieces that merging makes, last character first; a piece stands under ""
-        for piece in self.rank:
-            if self._halves(piece):
-                node = self.tree
-                for char in reversed(piece):
-                    node = node.setdefault(char, {})
-                node[""] = piece
-
-    def normalize(self, text: str) -> str:
-        return self.prefix + text.replace(" ", SPACE) if text else ""
+        self.pairs = array("Q", bytes(8 * SLOTS))
+        self.codes: dict[int, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.many = len(kinds)
+        self.arcs, self.ends, self.single = self._compile()
+        self.heads = {c: (self._symbol(c), self.arcs.get(ord(c))) for c in {" ", *map(chr, filter(lambda k: k < 1 << PLACES and not k >> 21, self.arcs))}}
+        self.inside = {p[i : i + 2] for p in self.names.values() for i in range(len(p) - 1)}
+
+    # -- the machines -----------------------------------------------------------------------------------------------
+
+    def _compile(self) -> tuple[dict[int, int], dict[int, int], dict[str, int]]:
+        """Arcs (state, character) to state of N composed with P; the piece that is spelled at a state; pieces of one character.
+
+        The machine is reversed, so that from a place it finds the arcs that enter it. A piece that merging can't make is on no
+        path, so it gets no arcs.
+        """
+        arcs, ends, states = {}, {}, 1
+        for i, piece in self.names.items():
+            if len(piece) > 1 and not self._halves(piece):
+                continue
+            state = 0
+            for char in reversed(piece):
+                to = arcs.get(state << PLACES | ord(char))
+                if to is None:
+                    to = states
+                    states += 1
+                    for label in (SPACE, " ") if char == SPACE else (char,):
+                        arcs[state << PLACES | ord(label)] = to
+                state = to
+            ends[state] = i
+        return arcs, ends, {p: i for i, p in self.names.items() if len(p) == 1}
+
+    def _symbol(self, char: str) -> int:
+        """A character's own piece, or the arc of byte fallback that writes it."""
+        char = SPACE if char == " " else char
+        return self.single.get(char, self.many + ord(char))
+
+    def _name(self, symbol: int) -> str:
+        return self.names[symbol] if symbol < self.many else chr(symbol - self.many)
 
     def _halves(self, piece: str) -> tuple[str, str] | None:
         """What the last merge of a piece puts together; None if merging its characters doesn't make it."""
@@ -86,8 +123,8 @@ class Transducer:
             self.halves[piece] = last if len(parts) == 1 else None
         return self.halves[piece]
 
-    def _arc(self, a: str, b: str) -> bool:
-        """Whether piece b may follow piece a at weight 0: at no time did merging have a merge across them.
+    def _untouched(self, a: str, b: str) -> bool:
+        """Whether at no time merging had a merge across the border of a and b.
 
         Going back in time, the piece made last is undone; what then touched the border could have merged across it only
         before that, at the same turn only if it stood further left.
@@ -105,82 +142,124 @@ class Transducer:
             else:
                 return True
 
-    def path(self, part: str) -> list[str]:
-        """The shortest path through a part's lattice, as pieces and characters.
-
-        ``last[i]`` is the piece that ends the finite path to i; there is exactly one, so the first that fits is taken. The
-        pieces that end at a place are found by walking backwards through the pieces' suffix tree.
+    def weight(self, before: int, symbol: int) -> float:
+        """An arc's weight after a symbol; the first arc of a path weighs nothing. Kept in a table of fixed size, by a hash of the pair."""
+        key = before << PLACES | symbol
+        slot = (key * 0x9E3779B1 >> 12) & SLOTS - 1
+        got = self.pairs[slot] >> 1
+        if got != key:
+            self.pairs[slot] = key << 1 | (not self._untouched(self._name(before), self._name(symbol)))
+        return PENALTY if self.pairs[slot] & 1 else 0.0
+
+    # -- composition and shortest path ------------------------------------------------------------------------------
+
+    def lattice(self, part: str, end: int) -> list[tuple[int, int]]:
+        """The arcs (start, symbol) of the composition with ``part`` that enter one place, shorter ones first."""
+        arcs, ends, at = self.arcs, self.ends, end - 1
+        out, state = [(at, self._symbol(part[at]))], arcs.get(ord(part[at]))
+        while state is not None and at:
+            at -= 1
+            state = arcs.get(state << PLACES | ord(part[at]))
+            if state in ends:
+                out.append((at, ends[state]))
+        return out
+
+    def shortest(self, part: str) -> tuple[float, list[int]]:
+        """The least weight of a path through the lattice, and its symbols.
+
+        Here the arcs of ``lattice`` are followed and relaxed in one. No weight is below 0, so a place reached at 0 is final; merging
+        has one result for each prefix, so only one symbol ends there at 0.
         """
-        n = len(part)
-        last: list[str] = [""] * (n + 1)
-        if self.pairs > 2 * CACHE:
-            self.after.clear()
-            self.pairs = 0
-        after, tree = self.after, self.tree
-        for end in range(1, n + 1):
-            node, at = tree, end
+        arcs, ends, pairs, points = self.arcs, self.ends, self.pairs, [ord(c) for c in part]
+        last, back = [-1], [0]
+        heads = self.heads
+        for end in range(1, len(part) + 1):
+            at = end - 1
+            head = heads.get(part[at])
+            symbol, state = (self._symbol(part[at]), None) if head is None else head
             while True:
-                at -= 1
-                char = part[at]
-                node = node.get(char)
-                piece = char if at == end - 1 else node.get("") if node else None
-                if piece is not None:
+                if symbol is not None:
                     if not at:
                         break
                     before = last[at]
-                    follows = after.get(before)
-                    if follows is None:
-                        follows = after[before] = {}
-                    ok = follows.get(piece)
-                    if ok is None:
-                        ok = follows[piece] = self._arc(before, piece)
-                        self.pairs += 1
-                    if ok:
-                        break
-                if not node or not at:
-                    raise AssertionError("a lattice without a finite path")
-            last[end] = piece
-        out, at = [], n
+                    if before >= 0:
+                        pair = before << PLACES | symbol
+                        held = pairs[(pair * 0x9E3779B1 >> 12) & SLOTS - 1]
+                        if not (held & 1 if held >> 1 == pair else self.weight(before, symbol)):
+                            break
+                if state is None or not at:
+                    symbol = -1
+                    break
+                at -= 1
+                state = arcs.get(state << PLACES | points[at])
+                symbol = ends.get(state)
+            last.append(symbol)
+            back.append(at)
+        if symbol < 0:
+            return self._relaxed(part)
+        out, at = [], len(part)
         while at:
             out.append(last[at])
-            at -= len(last[at])
-        return out[::-1]
-
-    def _code(self, piece: str) -> bytes:
-        k = self.normal.get(piece)
-        ids = [k] if k is not None else [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
-        got = self.codes[piece] = np.asarray(ids, "<u4").tobytes()
+            at = back[at]
+        return 0.0, out[::-1]
+
+    def _relaxed(self, part: str) -> tuple[float, list[int]]:
+        """The same with arcs of any weight: every state is a place and the symbol that ends there."""
+        states: list[dict[int, tuple[float, int, int]]] = [{-1: (0.0, 0, -1)}]
+        for end in range(1, len(part) + 1):
+            states.append({})
+            for start, symbol in self.lattice(part, end):
+                states[end][symbol] = min((w + (self.weight(before, symbol) if start else 0.0), start, before) for before, (w, _, _) in states[start].items())
+        at = len(part)
+        total, _, symbol = min((state[0], state[1], s) for s, state in states[at].items())
+        out = []
+        while at:
+            out.append(symbol)
+            _, at, symbol = states[at][symbol]
+        return total, out[::-1]
+
+    def _code(self, symbol: int) -> bytes:
+        ids = [symbol] if symbol < self.many else [self.bytes[b] for b in chr(symbol - self.many).encode("utf-8", "surrogatepass")]
+        if len(self.codes) >= CACHE:
+            self.codes.clear()
+        got = self.codes[symbol] = np.asarray(ids, "<u4").tobytes()
         return got
 
-    def _ids(self, part: str) -> bytes:
+    def _part(self, part: str) -> bytes:
         codes = self.codes
-        got = b"".join([codes.get(piece) or self._code(piece) for piece in self.path(part)])
-        if len(part) <= CACHED_LENGTH:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[part] = got
+        return b"".join([codes.get(s) or self._code(s) for s in self.shortest(part)[1]])
+
+    def _word(self, word: str) -> bytes:
+        """The part of a space and a word, kept under the word."""
+        got = self.young.get(word) or self.old.get(word)
+        if got is None:
+            if len(word) > 2 and word[-1] in ",." and word[-2:] not in self.inside:  # no arc spans such a place either
+                got = self._word(word[:-1]) + (self.tails.get(word[-1]) or self.tails.setdefault(word[-1], self._part(word[-1])))
+            else:
+                got = self._part(" " + word)
+            if len(word) > CACHED_LENGTH:
+                return got
+        if len(self.young) >= CACHE:
+            self.old, self.young = self.young, {}
+        self.young[word] = got
         return got
 
     def encode(self, text: str) -> np.ndarray:
-        cache, norm = self.cache, self.normalize(text)
-        if not norm:
+        if not text:
             return np.zeros(0, np.uint32)
-        if SPACE + SPACE in norm or not norm.startswith(SPACE) or norm.endswith(SPACE):
-            parts = _PARTS.findall(norm)
-        else:
-            parts = [SPACE + w for w in norm[1:].split(SPACE)]
-        return np.frombuffer(b"".join([cache[p] if p in cache else self._ids(p) for p in parts]), "<u4")
+        if "  " in text or text[0] == " " or text[-1] == " " or SPACE in text or not self.prefix:
+            return np.frombuffer(b"".join([self._part(p) for p in _PARTS.findall(self.prefix + text)]), "<u4")
+        words = text.split(" ")  # each is a part with a space before it
+        out = list(map(self.young.get, words))
+        for i in [i for i, got in enumerate(out) if got is None]:
+            out[i] = self._word(words[i])
+        return np.frombuffer(b"".join(out), "<u4")
 
     def decode(self, ids) -> str:
         """The inverse: runs of bytes become characters, the dummy prefix goes."""
         text = b"".join(map(self.spelling.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
-    def _spell(self, i: int) -> bytes:
-        if self.kinds[i] == BYTE:
-            return bytes([int(self.pieces[i][3:5], 16)])
-        return self.pieces[i].encode() if self.kinds[i] in (NORMAL, USER) else b""
-
 
 _loaded: dict[str, Transducer] = {}
 
@@ -188,6 +267,7 @@ _loaded: dict[str, Transducer] = {}
 def transducer(path: str) -> Transducer:
     if path not in _loaded:
         _loaded[path] = Transducer(path)
+        keep("pieces", _loaded.clear)
     return _loaded[path]
 
 
@@ -197,16 +277,17 @@ class _Encode:
     keep_ids: bool
 
     def __call__(self, batches):
-        t = transducer(self.path)
+        t, schema = transducer(self.path), _schema(self.keep_ids)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            columns = [[] for _ in schema]
+            for text in batch.column(1):
                 text = text.as_py() or ""
                 ids = t.encode(text)
                 back = t.decode(ids.tolist())
-                row = {"doc_id": doc_id, "n_ids": len(ids), "ids_crc32": zlib.crc32(ids.astype("<u4").tobytes()), "decoded_crc32": zlib.crc32(back.encode("utf-8", "surrogatepass")), "round_trip": back == text.replace(SPACE, " ")}
-                rows.append(row | ({"ids": ids.astype(np.int32)} if self.keep_ids else {}))
-            yield pa.RecordBatch.from_pylist(rows, _schema(self.keep_ids))
+                row = (len(ids), zlib.crc32(ids.tobytes()), zlib.crc32(back.encode("utf-8", "surrogatepass")), back == text.replace(SPACE, " "), ids.view(np.int32))
+                for column, value in zip(columns[1:], row, strict=False):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns[1:], list(schema)[1:], strict=True))], schema=schema)
 
 
 def _schema(keep_ids: bool) -> pa.Schema:
@@ -217,4 +298,4 @@ def _schema(keep_ids: bool) -> pa.Schema:
 def encode_documents(docs: DataFrame, model: str, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_ids, checksums of the ids and of the text decoded from them, whether that is the text, and the ids if asked for."""
     columns = "doc_id long, n_ids long, ids_crc32 long, decoded_crc32 long, round_trip boolean" + (", ids array<int>" if keep_ids else "")
-    return text_rows(docs).mapInArrow(_Encode(model, keep_ids), columns)
+    return text_rows(docs).mapInArrow(Tidy(_Encode(model, keep_ids), "pieces"), columns)
