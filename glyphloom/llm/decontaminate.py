@@ -4,7 +4,9 @@ Numbers, names (capitalized words inside a sentence) and units after a number be
 everything else is a lower-case word without punctuation. Windows of ``WINDOW`` template words of the documents are
 hash-joined with those of the benchmark. A window with several slots must also fill them alike: two slots have the same
 surface in the document exactly where they have in the item, so a question with other numbers matches and a shuffled one
-doesn't. A document holds an item if it has at least ``MIN_WINDOWS`` of the item's windows, or all if there are fewer.
+doesn't. The same must hold over the whole item: every surface of the item stands for the one surface of the document that most of its
+windows there give it (of equal ones the smallest), no surface of the document for two of the item's, and windows that say otherwise don't count. A document holds an item if it has at least ``MIN_WINDOWS`` of
+the item's windows, or all if there are fewer.
 
 Texts are read in up to four forms, and a pair's figures are those of the first that finds it:
 
@@ -20,7 +22,9 @@ the same join shuffles.
 Defined cases: a null or blank text has no words and no windows; an item of fewer than WINDOW words is one window of its own
 length in the first three forms, and of fewer than MIN_WORDS words none; windows with fewer literal words than placeholders
 are left out there. Such items are found by their exact form alone, however short: an item of one word is held by every
-document with that word. An item without letters and digits is its marks between white space; equal items each give their rows; repeated documents with one id count once; empty tables give
+document with that word. An item without letters and digits is its marks between white space; equal items each give their rows. Texts
+are told apart by id and text: repeated rows count once, of different texts with one id each is searched by itself and ``leaks`` gives the figures of the one that
+fits best, and so it does for all rows without doc_id, under a null; ``without_leaks`` drops the texts that hold an item, with or without id. Empty tables give
 no rows; other columns are ignored by ``leaks`` and kept by ``without_leaks``.
 """
 
@@ -66,13 +70,13 @@ def _window_hash(size: int):
 
 
 def _windows(rows: DataFrame, words: Column, sizes: list[int]) -> DataFrame:
-    """rows (doc_id, text) to (doc_id, size, pos, hash): every window of each size, from word 1 on."""
-    hashed = rows.select("doc_id", F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
+    """rows (row, doc_id, text) to (row, doc_id, size, pos, hash): every window of each size, from word 1 on."""
+    hashed = rows.select("row", "doc_id", F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
     out = None
     for size in sizes:
         count = F.size("words") - (size - 1)
         each = F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), _window_hash(size)))
-        one = hashed.select("doc_id", F.lit(size).alias("size"), F.posexplode(each).alias("pos", "hash")).withColumn("pos", F.col("pos") + 1)
+        one = hashed.select("row", "doc_id", F.lit(size).alias("size"), F.posexplode(each).alias("pos", "hash")).withColumn("pos", F.col("pos") + 1)
         out = one if out is None else out.union(one)
     return out
 
@@ -98,31 +102,38 @@ def _small(df: DataFrame, most: int) -> DataFrame:
 
 
 def benchmark_windows(rows: DataFrame, form: str) -> DataFrame:
-    """item_id, copy, size, ipos, hash, pattern of the slots, and the item's number of windows; written, as it is used twice."""
+    """item_id, copy, size, ipos, hash, slots with their surfaces, and the item's number of windows; written, as it is used twice."""
     rows = materialise(rows.select("item_id", "copy", _words(F.col("text"), False, form).alias("plain"), _words(F.col("text"), True, form).alias("full")), "items")
     size = F.least(F.size("plain"), F.lit(WINDOW))
     each = rows.where(F.size("plain") >= MIN_WORDS).withColumn("size", size).withColumn("ipos", F.explode(F.sequence(F.lit(1), F.size("plain") - F.col("size") + 1)))
     window = F.slice("plain", F.col("ipos"), F.col("size"))
     literal = F.size(F.filter(window, lambda w: ~_is_slot(w)))
-    found = each.where(2 * literal >= F.col("size")).select("item_id", "copy", "size", "ipos", _hash_of(window).alias("hash"), _pattern(_slots("full", F.col("ipos"), F.col("size"))).alias("pattern"))
+    found = each.where(2 * literal >= F.col("size")).select("item_id", "copy", "size", "ipos", _hash_of(window).alias("hash"), _slots("full", F.col("ipos"), F.col("size")).alias("slots"))
     total = found.groupBy("item_id", "copy").agg(F.count("*").alias("item_windows"))
     return materialise(found.join(total, ["item_id", "copy"]), "item-windows")
 
 
 def _held(rows: DataFrame, wanted: DataFrame, form: str) -> DataFrame:
-    """A row for each document and item it holds in one form."""
+    """A line for each text and item it holds in one form."""
     sizes = _sizes(wanted) or [WINDOW]
-    side = _small(wanted.select("size", "hash", "item_id", "copy", "ipos", "item_windows", "pattern"), BROADCAST_WINDOWS)
-    found = materialise(_windows(rows, _words(F.col("text"), False, form), sizes).join(side, ["size", "hash"]), "matches")
-    # Windows with two slots or more are held against the document's surfaces; one slot is always filled alike.
-    slotted = F.size("pattern") > 1
-    to_test = _small(materialise(found.where(slotted).select("doc_id").distinct(), "slotted"), BROADCAST_IDS)
-    surfaces = rows.join(to_test, "doc_id", "left_semi").select("doc_id", _words(F.col("text"), True, form).alias("full"))
-    tested = found.where(slotted).join(surfaces, "doc_id").where(_pattern(_slots("full", F.col("pos"), F.col("size"))) == F.col("pattern"))
-    columns = ["doc_id", "item_id", "copy", "ipos", "pos", "item_windows"]
-    alike = found.where(~slotted).select(columns).union(tested.select(columns))
-    per_window = alike.groupBy("doc_id", "item_id", "copy", "item_windows", "ipos").agg(F.min("pos").alias("pos"))
-    held = per_window.groupBy("doc_id", "item_id", "copy", "item_windows").agg(F.count("*").alias("n_windows"), F.min("pos").cast("long").alias("first_word"))
+    side = _small(wanted.select("size", "hash", "item_id", "copy", "ipos", "item_windows", "slots"), BROADCAST_WINDOWS)
+    found = materialise(_windows(rows, _words(F.col("text"), False, form), sizes).join(side, ["size", "hash"]).distinct(), "matches")
+    # Windows with slots are held against the text's surfaces.
+    slotted = F.size("slots") > 0
+    to_test = _small(materialise(found.where(slotted).select("row").distinct(), "slotted"), BROADCAST_IDS)
+    surfaces = rows.join(to_test, "row", "left_semi").select("row", _words(F.col("text"), True, form).alias("full"))
+    filled = found.where(slotted).join(surfaces, "row").withColumn("own", _slots("full", F.col("pos"), F.col("size"))).drop("full")
+    tested = materialise(filled.where(_pattern(F.col("own")) == _pattern(F.col("slots"))).distinct(), "filled-alike")
+    pair, place = ["row", "item_id", "copy"], ["row", "item_id", "copy", "ipos", "pos"]
+    said = materialise(tested.select(*place, F.explode(F.arrays_zip("slots", "own")).alias("z")).select(*place, F.col("z.slots").alias("s"), F.col("z.own").alias("o")).distinct(), "said")
+    votes = said.select(*pair, "ipos", "s", "o").distinct().groupBy(*pair, "s", "o").agg((-F.count("*")).alias("n"))
+    first = votes.groupBy(*pair, "s").agg(F.min(F.struct("n", "o")).alias("b")).select(*pair, "s", "b.*")
+    agreed = first.groupBy(*pair, "o").agg(F.min(F.struct("n", "s")).alias("b")).select(*pair, F.col("b.s").alias("s"), "o")
+    against = said.join(agreed, [*pair, "s", "o"], "left_anti").select(*place).distinct()
+    columns = ["doc_id", *place, "item_windows"]
+    alike = found.where(~slotted).select(columns).union(tested.join(against, place, "left_anti").select(columns))
+    per_window = alike.groupBy("doc_id", *pair, "item_windows", "ipos").agg(F.min("pos").alias("pos"))
+    held = per_window.groupBy("doc_id", *pair, "item_windows").agg(F.count("*").alias("n_windows"), F.min("pos").cast("long").alias("first_word"))
     return held.where(F.col("n_windows") >= F.least("item_windows", F.lit(MIN_WINDOWS)))
 
 
@@ -137,17 +148,22 @@ def _held_exactly(rows: DataFrame, items: DataFrame, between: str) -> DataFrame
         return None
     found = materialise(_windows(rows, _surface(F.col("text"), between), sizes).join(_small(keyed, BROADCAST_WINDOWS), ["size", "hash"]), "exact-matches")
     longer = F.col("length") > F.col("size")
-    to_test = _small(materialise(found.where(longer).select("doc_id").distinct(), "exact-longer"), BROADCAST_IDS)
-    texts = rows.join(to_test, "doc_id", "left_semi").select("doc_id", _surface(F.col("text"), between).alias("words"))
-    tested = found.where(longer).join(texts, "doc_id").where(_hash_of(F.slice("words", F.col("pos"), F.col("length"))) == F.col("whole"))
-    columns = ["doc_id", "item_id", "copy", "pos"]
-    held = found.where(~longer).select(columns).union(tested.select(columns)).groupBy("doc_id", "item_id", "copy").agg(F.min("pos").cast("long").alias("first_word"))
+    to_test = _small(materialise(found.where(longer).select("row").distinct(), "exact-longer"), BROADCAST_IDS)
+    texts = rows.join(to_test, "row", "left_semi").select("row", _surface(F.col("text"), between).alias("words"))
+    tested = found.where(longer).join(texts, "row").where(_hash_of(F.slice("words", F.col("pos"), F.col("length"))) == F.col("whole"))
+    columns = ["row", "doc_id", "item_id", "copy", "pos"]
+    held = found.where(~longer).select(columns).union(tested.select(columns)).groupBy("row", "doc_id", "item_id", "copy").agg(F.min("pos").cast("long").alias("first_word"))
     return held.withColumn("n_windows", F.lit(1).cast("long")).withColumn("item_windows", F.lit(1).cast("long"))
 
 
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """A row for each document and item it holds: doc_id, item_id, n_windows, item_windows, coverage, first_word."""
-    rows = text_rows(docs).where("doc_id is not null")
+def _row() -> Column:
+    """What tells texts apart: id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+
+
+def _found(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """row, doc_id, item_id, copy and the best figures of each text and item it holds."""
+    rows = text_rows(docs).withColumn("row", _row())
     own = materialise(text_rows(items, "item_id").select(F.col("doc_id").alias("item_id"), F.monotonically_increasing_id().alias("copy"), "text"), "benchmark")
     inside = benchmark_windows(own, "inside")
     parts = [_held(rows, inside, "inside")]
@@ -163,17 +179,22 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     held = None
     for rank, part in enumerate(parts):
         if part is not None:
-            one = part.select("doc_id", "item_id", "copy", F.struct(F.lit(rank).alias("rank"), *figures).alias("best"))
+            one = part.select("row", "doc_id", "item_id", "copy", F.struct(F.lit(rank).alias("rank"), (-F.col("n_windows")).alias("most"), *figures).alias("best"))
             held = one if held is None else held.union(one)
-    held = held.groupBy("doc_id", "item_id", "copy").agg(F.min("best").alias("best")).select("doc_id", "item_id", "best.*")
+    return held
+
+
+def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """A row for each document and item it holds: doc_id, item_id, n_windows, item_windows, coverage, first_word."""
+    held = _found(docs, items).groupBy("doc_id", "item_id", "copy").agg(F.min("best").alias("best")).select("doc_id", "item_id", "best.*")
     return held.select("doc_id", "item_id", "n_windows", "item_windows", (F.col("n_windows") / F.col("item_windows")).alias("coverage"), "first_word")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that hold no item, with all their columns."""
-    held = materialise(leaks(docs, items).select(F.col("doc_id").alias("_held_id")).distinct(), "held")
+    held = materialise(_found(docs, items).select(F.col("row").alias("_held_row")).distinct(), "held")
     held = F.broadcast(held) if held.count() <= BROADCAST_IDS else held.hint("merge")
-    return docs.join(held, F.col("doc_id").cast("long") == F.col("_held_id"), "left_anti")
+    return docs.join(held, _row() == F.col("_held_row"), "left_anti")
 
 
 _SQL_WORDS = """string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(
@@ -192,16 +213,24 @@ def leaks_sql() -> str:
     """The same rows in DuckDB, for a benchmark whose items all have WINDOW words or more."""
     slot = f"x[1] in ('{NAME}', '{NUMBER}', '{UNIT}')"
     slots = f"list_filter(list_slice(full_words, pos, pos + {WINDOW - 1}), lambda x: {slot})"
+    alike = lambda x: f"list_transform({x}, lambda x: list_position({x}, x))"
     return f"""
-with d as (select doc_id, {_sql_words(False)} as words, {_sql_words(True)} as full_words from documents where doc_id is not null),
+with d as (select row_number() over () as r, doc_id, {_sql_words(False)} as words, {_sql_words(True)} as full_words from documents),
 b as (select item_id, {_sql_words(False)} as words, {_sql_words(True)} as full_words from benchmark),
-dw as (select doc_id, pos, array_to_string(list_slice(words, pos, pos + {WINDOW - 1}), ' ') as w from (select *, unnest(range(1, len(words) - {WINDOW - 2})) as pos from d)),
+dw as (select r, pos, array_to_string(list_slice(words, pos, pos + {WINDOW - 1}), ' ') as w from (select *, unnest(range(1, len(words) - {WINDOW - 2})) as pos from d)),
 bp as (select *, unnest(range(1, len(words) - {WINDOW - 2})) as pos from b),
 bs as (select item_id, pos, array_to_string(list_slice(words, pos, pos + {WINDOW - 1}), ' ') as w, {slots} as slots from bp
   where 2 * len(list_filter(list_slice(words, pos, pos + {WINDOW - 1}), lambda x: not ({slot}))) >= {WINDOW}),
-bw as (select item_id, pos as ipos, w, list_transform(slots, lambda x: list_position(slots, x)) as pattern, count(*) over (partition by item_id) as item_windows from bs),
-m as (select dw.doc_id, dw.pos, bw.* from dw join bw using (w)),
-mp as (select m.*, {slots} as slots from m join d using (doc_id)),
-ok as (select doc_id, item_id, item_windows, ipos, min(pos) as pos from mp where list_transform(slots, lambda x: list_position(slots, x)) = pattern group by all)
-select doc_id, item_id, count(*) as n_windows, item_windows, count(*) / item_windows as coverage, min(pos) as first_word
-from ok group by doc_id, item_id, item_windows having count(*) >= least(item_windows, {MIN_WINDOWS})"""
+bw as (select item_id, pos as ipos, w, slots, count(*) over (partition by item_id) as item_windows from bs),
+m as (select dw.r, dw.pos, bw.* from dw join bw using (w)),
+mp as (select m.*, doc_id, {slots} as own from m join d using (r)),
+tw as (select * from mp where {alike('own')} = {alike('slots')}),
+said as (select r, item_id, ipos, pos, unnest(slots) as s, unnest(own) as o from tw),
+votes as (select r, item_id, s, o, count(distinct ipos) as n from said group by all),
+one as (select * from votes qualify row_number() over (partition by r, item_id, s order by n desc, o) = 1),
+agreed as (select * from one qualify row_number() over (partition by r, item_id, o order by n desc, s) = 1),
+against as (select distinct r, item_id, ipos, pos from said anti join agreed using (r, item_id, s, o)),
+ok as (select r, doc_id, item_id, item_windows, ipos, min(pos) as pos from tw anti join against using (r, item_id, ipos, pos) group by all),
+held as (select r, doc_id, item_id, item_windows, count(*) as n_windows, min(pos) as first_word from ok group by all having count(*) >= least(item_windows, {MIN_WINDOWS}))
+select doc_id, item_id, n_windows, item_windows, n_windows / item_windows as coverage, first_word
+from held qualify row_number() over (partition by doc_id, item_id order by n_windows desc, first_word) = 1"""
