@@ -3,7 +3,7 @@
 The battery looks at runs of at least ``MIN_RUN`` characters of ``[A-Za-z0-9+/_-]`` with their trailing ``=``, so a key glued to
 its name by ``=`` is a run of its own. A run that mixes ``+`` or ``/`` with ``_`` or ``-`` fits no encoding; its maximal stretches over each
 alphabet are tested instead, their p-values multiplied by how many there are, and the likeliest that don't overlap are kept. The narrowest encoding that holds all
-of a run's characters is inferred (hexadecimal, Crockford-like base 32, base 36, base 62, base 64; letters of one case and
+of a run's characters is inferred (hexadecimal, base 32 of A-Z and 2-7, base 36, base 62, base 64; letters of one case and
 digits alone are words and numbers, not encodings). Against that encoding's alphabet it takes
 
 * the chi-squared statistic of uniformity,
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphloom.llm.shared import materialise, text_rows
+from glyphloom.llm.shared import Tidy, materialise, occupy, text_rows
 
 # Fixed patterns of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -66,11 +66,17 @@ def _chi_upper(x: float, df: int) -> float:
     return _upper(((max(x, 0) / df) ** (1 / 3) - (1 - c)) / math.sqrt(c))
 
 
-def encoding(run: str) -> tuple[str, int] | None:
-    bare = run.rstrip("=").replace("-", "") if re.fullmatch(r"[0-9a-fA-F-]+", run) else run.rstrip("=")
-    if not bare or PLAIN.fullmatch(bare):
+def bare(run: str) -> str:
+    """A run without padding, and without the dashes that only group hexadecimal digits."""
+    body = run.rstrip("=")
+    return body.replace("-", "") if re.fullmatch(r"[0-9a-f-]+|[0-9A-F-]+", body) else body
+
+
+def encoding(body: str) -> tuple[str, int] | None:
+    """Name and size of the narrowest alphabet that holds a bare run."""
+    if not body or PLAIN.fullmatch(body):
         return None
-    return next(((name, size) for name, form, size in ENCODINGS if form.fullmatch(bare)), None)
+    return next(((name, size) for name, form, size in ENCODINGS if form.fullmatch(body)), None)
 
 
 def _class(c: str) -> int:
@@ -79,10 +85,10 @@ def _class(c: str) -> int:
 
 def battery(run: str) -> float:
     """The p-value of a run under ordinary text; 1 if it is no encoding or a test speaks against randomness."""
-    found = encoding(run)
-    if not found:
+    body = bare(run)
+    found = encoding(body)
+    if not found or len(body) < 2:
         return 1.0
-    body = run.rstrip("=")
     n, size = len(body), found[1]
     counts = Counter(body)
     expected = n / size
@@ -175,7 +181,7 @@ def _scan(batches):
 
 def scan(docs: DataFrame) -> DataFrame:
     """Each document's base spans and runs; texts are read whole, once."""
-    return text_rows(docs).mapInArrow(_scan, SCAN_SCHEMA)
+    return text_rows(docs).mapInArrow(Tidy(_scan), SCAN_SCHEMA)
 
 
 def thresholds(found: DataFrame) -> dict[int, int]:
@@ -236,10 +242,11 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     The texts are read twice: for the histogram that sets the thresholds, and to replace the spans.
     """
-    limits = thresholds(text_rows(docs.withColumn("doc_id", F.lit(0)), text_col=text_col).mapInArrow(_scan, SCAN_SCHEMA))
+    limits = thresholds(text_rows(docs.withColumn("doc_id", F.lit(0)), text_col=text_col).mapInArrow(Tidy(_scan), SCAN_SCHEMA))
 
     @F.pandas_udf("string")
     def replace(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        occupy("secrets")
         for series in texts:
             yield pd.Series([redacted(t, limits) for t in series], dtype=object)
 
