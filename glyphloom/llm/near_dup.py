@@ -20,8 +20,9 @@ a pair at that similarity shares no bucket with probability (1 - 0.85^ROWS)^band
 asked for with 3e-8; at other shares the bounds are MISSED and UNLIKE.
 
 Defined cases: a document without words (null, empty or white space) has an empty set, is its own component and kept; equal
-rows are one class; rows that share a doc_id count as linked; an empty table gives no rows; other columns are ignored by
-``components`` and kept by ``one_of_each``.
+rows are one class; rows that share a doc_id count as linked; a row without doc_id is linked with nothing, has no component_id and is
+kept; an empty table gives no rows; other columns are ignored by ``components`` and kept by ``one_of_each``. "Full sets" are sets of
+64-bit hashes, so two different shingles of one pair of documents pass for one with a chance of about their number's square in 2^64.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphloom.llm.shared import materialise, release, text_rows
+from glyphloom.llm.shared import Tidy, materialise, release, text_rows
 
 ROWS = 5
 SHINGLE = 5
@@ -228,7 +229,7 @@ def _verified(rows: DataFrame, pairs: DataFrame, share: int) -> DataFrame:
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     nodes = materialise(nodes, "pair-nodes")
     known = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
-    sets = materialise(rows.join(known, rows["doc_id"] == known["node"], "left_semi").mapInArrow(_sets, "node long, elements array<long>"), "sets")
+    sets = materialise(rows.join(known, rows["doc_id"] == known["node"], "left_semi").mapInArrow(Tidy(_sets), "node long, elements array<long>"), "sets")
     one, two = sets.select(F.col("node").alias("b"), F.col("elements").alias("two")), sets.select(F.col("node").alias("a"), F.col("elements").alias("one"))
     both = pairs.join(one.hint("merge"), "b").join(two.hint("merge"), "a")
     shared = F.size(F.array_intersect("one", "two"))
@@ -255,12 +256,14 @@ def connected(edges: DataFrame) -> DataFrame:
         moved = large.join(least2.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = moved.union(least2.select("u", F.col("m").alias("v")))
         after = materialise(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "small-star")
-        for used in (edges, both, least, large, least2):
+        for used in (both, least, large, least2):
             release(used)
-        edges, now = after, print_of(after)
-        if now == before:
+        now = print_of(after)
+        same = now == before and after.join(edges, ["u", "v"], "left_anti").isEmpty()  # both are distinct and of one size
+        release(edges)
+        edges, before = after, now
+        if same:
             break
-        before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
@@ -283,7 +286,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, n_shingles, component_id and kept of every document; sets that share ``min_share`` of a hundred are linked."""
     plan = Plan(min_share)
     rows = text_rows(docs, id_col, text_col)
-    sketches = materialise(rows.mapInArrow(_sketch(plan.registers), "doc_id long, key binary, n_shingles long, bands array<long>, nibbles array<long>, parities array<long>"), "sketches")
+    sketches = materialise(rows.mapInArrow(Tidy(_sketch(plan.registers)), "doc_id long, key binary, n_shingles long, bands array<long>, nibbles array<long>, parities array<long>"), "sketches")
     classes = materialise(sketches.groupBy("key").agg(F.min("doc_id").alias("node")), "classes")
     chosen = sketches.where("n_shingles > 0").join(classes.hint("merge"), (sketches["key"] == classes["key"]) & (sketches["doc_id"] == classes["node"]), "left_semi")
     buckets = materialise(chosen.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band")).distinct(), "buckets")
@@ -316,8 +319,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for used in (members, links, seen, targets, signs, leaders):
         release(used)
     found = sketches.select("doc_id", "key", "n_shingles").join(by_class.hint("merge"), "key", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, min_share: int = MIN_SHARE) -> DataFrame:
@@ -326,7 +329,7 @@ def one_of_each(docs: DataFrame, min_share: int = MIN_SHARE) -> DataFrame:
     own = F.col("doc_id").cast("long")
     without = lambda df, ids: df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge"), own.eqNullSafe(F.col("_id")), "left_anti")
     dropped = materialise(found.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct(), "dropped")
-    repeated = materialise(found.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"), "repeated")
+    repeated = materialise(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"), "repeated")
     left = without(docs, dropped)
     if repeated.isEmpty():
         return left
