@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphloom.llm.shared import small_batches
+from glyphloom.llm.shared import Tidy, occupy, small_batches
 
 SAMPLE = 3_000
 MIN_COUNT, MIN_RATE = 3, 0.3
@@ -142,7 +142,7 @@ def train(docs: DataFrame) -> Filters:
         return Filters.build([], {})
     share = F.broadcast(docs.sparkSession.createDataFrame([(k, min(1.0, SAMPLE / v)) for k, v in sizes.items()], "lang string, share double"))
     chosen = rows.join(share, "lang").where((F.xxhash64("doc_id") % 1_000_000 + 1_000_000) % 1_000_000 < F.col("share") * 1_000_000)
-    counts = chosen.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
+    counts = chosen.select("lang", "text").mapInArrow(Tidy(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
     languages = sorted(sizes)
     got = counts.collect()  # bounded by the sample
     total = dict.fromkeys(languages, 0)
@@ -160,6 +160,7 @@ def _predictor(docs: DataFrame, model: Filters):
 
     @F.pandas_udf("lang_pred string, score double")
     def predict_text(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        occupy("language")
         for series in texts:
             out = [p for some in _pieces(list(series), lambda t: len(t or "")) for p in shared.value.predict(some)]
             yield pd.DataFrame(out, columns=["lang_pred", "score"])

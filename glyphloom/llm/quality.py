@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphloom.llm.shared import materialise
+from glyphloom.llm.shared import materialise, occupy, small_batches
 
 SAMPLE = 6_000
 BUCKETS = 1 << 15
@@ -138,10 +138,11 @@ def classify(docs: DataFrame, labels: DataFrame, model: Model | None = None) ->
 
     @F.pandas_udf("quality double, toxic double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        occupy("quality")
         for series in texts:
             yield pd.DataFrame([shared.value.scores(t) for t in series], columns=["quality", "toxic"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("site"), F.coalesce("lang", F.lit("")).alias("path"), score(F.col("text")).alias("p"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("site"), F.coalesce("lang", F.lit("")).alias("path"), score(F.col("text")).alias("p"))
     scored = materialise(rows.select("doc_id", "site", "path", F.col("p.quality").alias("text_quality"), F.col("p.toxic").alias("toxic")), "scored")
     paths = materialise(scored.groupBy("site", "path").agg(F.count("*").alias("n"), F.sum("text_quality").alias("s")), "paths")
     whole = paths.agg((F.sum("s") + 0.5) / (F.sum("n") + 1)).first()[0]
