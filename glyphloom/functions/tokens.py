@@ -42,12 +42,25 @@ def token_values(value: Column, merge_alpha: bool = False) -> Column:
     return F.regexp_extract_all(value, F.lit(MERGED_TOKEN if merge_alpha else TOKEN), F.lit(0))
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once; a lambda would compute an outer expression anew for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def tokenize(value: Column, merge_alpha: bool = False, preserve_case: bool = True) -> Column:
-    """A string's tokens. ``preserve_case`` is accepted and changes nothing."""
+    """A string's tokens. ``preserve_case`` is accepted and changes nothing.
+
+    Positions are running sums of lengths, taken in blocks of about the square root of the number of tokens: the sum of the blocks
+    before, and of the tokens before in the block.
+    """
     bare = F.transform(token_values(value, merge_alpha), lambda t: F.struct(token_type(t).alias("type"), t.alias("value"), graphemes(t).alias("length")))
-    none = F.from_json(F.lit('{"at": 0, "out": []}'), "at int, out array<struct<type:string,value:string,length:int,position:int>>")
-    step = lambda acc, t: F.struct((acc["at"] + t["length"]).alias("at"), F.array_append(acc["out"], F.struct(t["type"].alias("type"), t["value"].alias("value"), t["length"].alias("length"), acc["at"].alias("position"))).alias("out"))
-    return F.aggregate(bare, none, step, lambda acc: acc["out"])
+    total = lambda part: F.aggregate(part, F.lit(0), lambda n, t: n + t["length"])
+    sized = _let(bare, lambda x: F.struct(x.alias("all"), F.greatest(F.lit(32), F.sqrt(F.size(x)).cast("int")).alias("each")))
+    blocks = _let(sized, lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(s["all"]), F.lit(1)) - 1) / s["each"]).cast("int")), lambda k: F.slice(s["all"], k * s["each"] + 1, s["each"])))
+    summed = _let(blocks, lambda b: F.struct(b.alias("blocks"), F.transform(b, total).alias("totals")))
+    placed = lambda part, base: F.transform(part, lambda t, j: F.struct(t["type"].alias("type"), t["value"].alias("value"), t["length"].alias("length"), (base + total(F.slice(part, F.lit(1), j))).alias("position")))
+    before = lambda totals, k: F.aggregate(F.slice(totals, F.lit(1), k), F.lit(0), lambda n, x: n + x)
+    return _let(summed, lambda s: F.flatten(F.transform(s["blocks"], lambda part, k: _let(F.struct(part.alias("part"), before(s["totals"], k).alias("base")), lambda w: placed(w["part"], w["base"])))))
 
 
 def tokenize_with_positions(value: Column) -> Column:

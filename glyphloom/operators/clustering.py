@@ -1,26 +1,29 @@
 """Structural clustering: skeleton groups, greedy leader merging, and the limit on clusters.
 
-Groups are merged in order of size: a leader takes every later group within ``MERGE_DISTANCE`` of it. Distances come from the
-JVM, for a block of possible leaders at a time against all groups; the driver only sees group numbers, and stops as soon as
-no later cluster can be among those kept.
+Groups are merged in order of size: a leader takes every later group within ``MERGE_DISTANCE`` of it. Groups with one normalized
+skeleton are at distance 0 and as far from any other, so they always end together and are merged first. What is left stays a DataFrame: each round takes its
+first rows as possible leaders, settles which of them lead, and gives every row to the first leader near enough; only the
+possible leaders and the clusters' sizes come to the driver. A round has more leaders when the one before took little. Rounds stop as soon as no later cluster can be among those kept.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphloom.functions import tokens as T
+from glyphloom.plans.lineage import cut
 
+# Fixed value: groups this near are merged.
 MERGE_DISTANCE = 0.3
 BLOCK = 64
 
 
 @dataclass(frozen=True)
 class Clusters:
-    """``assigned`` maps (skeleton, cluster); ``sizes`` has the members of each cluster in order."""
+    """``assigned`` maps (norm, cluster), norm a normalized skeleton; ``sizes`` has the members of each cluster in order."""
 
     assigned: DataFrame
     sizes: dict[int, int]
@@ -31,69 +34,74 @@ def initial_groups(counts: DataFrame) -> DataFrame:
     return counts.groupBy(T.skeleton(F.col("value")).alias("skeleton")).agg(F.sum("cnt").alias("size"))
 
 
-def ranked_groups(counts: DataFrame) -> DataFrame:
-    """Groups numbered from 0 by size, largest first, ties in byte order."""
-    return initial_groups(counts).withColumn("sid", F.row_number().over(Window.orderBy(F.desc("size"), "skeleton")) - 1)
-
-
-def merge_groups(groups: DataFrame, max_clusters: int | None = None, threshold: float = MERGE_DISTANCE) -> list[list[int]]:
-    """Clusters as lists of group numbers, in leader order. With ``max_clusters`` the rest, once it can't matter, is one list at the end."""
-    sizes = [r["size"] for r in groups.select("sid", "size").orderBy("sid").collect()]
-    norm = groups.select("sid", T.normalized_skeleton(F.col("skeleton")).alias("norm")).cache()
-    left, out, near = dict.fromkeys(range(len(sizes))), [], {}
-    formed: list[int] = []
-    try:
-        while left:
-            rest = sum(sizes[i] for i in left)
-            kept = sorted(formed, reverse=True)
-            if max_clusters and len(formed) >= max_clusters and (max_clusters == 1 or kept[max_clusters - 2] >= rest):
-                return [*out, list(left)]
-            leader = next(iter(left))
-            if leader not in near:
-                near = _near(norm, list(left)[:BLOCK], min(left), threshold)
-            cluster = [leader, *(i for i in near[leader] if i in left and i != leader)]
-            for i in cluster:
-                del left[i]
-            out.append(cluster)
-            formed.append(sum(sizes[i] for i in cluster))
-        return out
-    finally:
-        norm.unpersist()
-
-
-def _near(norm: DataFrame, leaders: list[int], first: int, threshold: float) -> dict[int, list[int]]:
-    """For each leader the groups within the threshold. The leaders are at most BLOCK rows, so they are broadcast."""
-    some = norm.where(F.col("sid").isin(leaders)).select(F.col("sid").alias("leader"), F.col("norm").alias("other"))
-    longest = F.greatest(F.length("norm"), F.length("other"))
-    most = F.floor(longest * threshold).cast("int")
-    can = F.abs(F.length("norm") - F.length("other")) <= most
-    distance = F.levenshtein("norm", "other")
-    found = norm.where(F.col("sid") >= first).join(F.broadcast(some), can & (F.col("sid") >= F.col("leader"))).where((F.col("norm") == F.col("other")) | (distance / longest <= threshold))
-    out: dict[int, list[int]] = {i: [] for i in leaders}
-    for r in found.select("leader", "sid").orderBy("leader", "sid").collect():
-        out[r["leader"]].append(r["sid"])
-    return out
+def merged_groups(groups: DataFrame) -> DataFrame:
+    """(skeleton, size) to (norm, size, first): first orders the classes by their largest group, ties in byte order."""
+    first = F.min(F.struct((-F.col("size")).alias("most"), F.col("skeleton")))
+    return groups.groupBy(T.normalized_skeleton(F.col("skeleton")).alias("norm")).agg(F.sum("size").alias("size"), first.alias("first"))
+
+
+def _near(norm: Column, leader: str, threshold: float) -> Column:
+    """Whether a normalized skeleton is within the threshold. Lengths and numbers of spaces rule most out before the edit distance, which gives up beyond it."""
+    other, size = F.lit(leader), len(leader)
+    longest = F.greatest(F.length(norm), F.lit(size))
+    most = F.floor(longest * threshold + 1e-9).cast("int")
+    spaces = F.length(norm) - F.length(F.replace(norm, F.lit("_"), F.lit("")))
+    close = (F.abs(F.length(norm) - size) <= most) & (F.abs(spaces - leader.count("_")) <= most)
+    distance = F.call_function("levenshtein", norm, other, most)
+    return (norm == other) | F.when(close, (distance >= 0) & (distance / longest <= threshold)).otherwise(False)
+
+
+def merge_groups(classes: DataFrame, max_clusters: int | None = None, threshold: float = MERGE_DISTANCE) -> tuple[DataFrame, list[int]]:
+    """(norm, cluster) and the clusters' sizes in leader order. With ``max_clusters`` the rest, once it can't matter, is one cluster at the end."""
+    left = cut(classes.select("norm", "size", "first"))
+    rest = left.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    parts, sizes, block = [], [], 1
+    while rest:
+        if max_clusters and len(sizes) >= max_clusters and (max_clusters == 1 or sorted(sizes, reverse=True)[max_clusters - 2] >= rest):
+            parts.append(left.select("norm", F.lit(len(sizes)).alias("cluster")))
+            sizes.append(rest)
+            break
+        heads = left.select("first", "norm").orderBy("first").limit(block)
+        possible = [r["norm"] for r in heads.collect()]
+        leaders = possible[:1]
+        if len(possible) > 1:
+            table = heads.select("norm", *[_near(F.col("norm"), p, threshold).alias(f"n{i}") for i, p in enumerate(possible)]).collect()
+            near = {r["norm"]: r for r in table}
+            for p in possible[1:]:
+                if not any(near[p][f"n{possible.index(q)}"] for q in leaders):
+                    leaders.append(p)
+        base = len(sizes)
+        which = F.coalesce(*[F.when(_near(F.col("norm"), p, threshold), F.lit(base + i)) for i, p in enumerate(leaders)])
+        tried = cut(left.withColumn("cluster", which))
+        taken = {r["cluster"]: r["size"] for r in tried.where("cluster is not null").groupBy("cluster").agg(F.sum("size").alias("size")).collect()}  # at most BLOCK rows
+        sizes += [taken[base + i] for i in range(len(leaders))]
+        parts.append(tried.where("cluster is not null").select("norm", "cluster"))
+        left = tried.where("cluster is null").drop("cluster")
+        before, rest = rest, rest - sum(taken.values())
+        block = min(BLOCK, 2 * block) if rest > 0.8 * before else max(1, block // 2)
+    out = parts[0] if parts else left.select("norm", F.lit(0).alias("cluster"))
+    for part in parts[1:]:
+        out = out.union(part)
+    return out, sizes
 
 
 def cluster(counts: DataFrame, max_clusters: int = 10, min_cluster_size: int = 1, threshold: float = MERGE_DISTANCE) -> Clusters:
     """Cluster (value, cnt). Over the limit, the largest ``max_clusters - 1`` are kept and the rest become one last cluster."""
     if max_clusters < 1:
         raise ValueError("max_clusters must be positive")
-    groups = ranked_groups(counts).cache()
-    sizes = {r["sid"]: r["size"] for r in groups.select("sid", "size").collect()}
-    merged = merge_groups(groups, max_clusters if min_cluster_size <= 1 else None, threshold)
-    found = [c for c in merged if sum(sizes[i] for i in c) >= min_cluster_size]
+    assigned, sizes = merge_groups(merged_groups(initial_groups(counts)), max_clusters if min_cluster_size <= 1 else None, threshold)
+    found = [[i] for i, size in enumerate(sizes) if size >= min_cluster_size]
     if len(found) > max_clusters:
-        order = sorted(range(len(found)), key=lambda i: -sum(sizes[j] for j in found[i]))
+        order = sorted(range(len(found)), key=lambda i: -sizes[found[i][0]])
         found = [*(found[i] for i in order[: max_clusters - 1]), [j for i in order[max_clusters - 1 :] for j in found[i]]]
-    spark = counts.sparkSession
-    pairs = spark.createDataFrame([(i, c) for c, members in enumerate(found) for i in members], "sid int, cluster int")
-    return Clusters(groups.join(pairs, "sid").select("skeleton", "cluster"), {c: sum(sizes[i] for i in members) for c, members in enumerate(found)})
+    pairs = counts.sparkSession.createDataFrame([(i, c) for c, members in enumerate(found) for i in members], "old int, cluster int")
+    joined = assigned.join(pairs, F.col("old") == assigned["cluster"]).select("norm", pairs["cluster"])
+    return Clusters(joined, {c: sum(sizes[i] for i in members) for c, members in enumerate(found)})
 
 
 def with_cluster(counts: DataFrame, clusters: Clusters) -> DataFrame:
     """(value, cnt) with its cluster; values of dropped clusters are left out."""
-    return counts.withColumn("skeleton", T.skeleton(F.col("value"))).join(clusters.assigned, "skeleton").select("cluster", "value", "cnt")
+    return counts.withColumn("norm", T.normalized_skeleton(T.skeleton(F.col("value")))).join(clusters.assigned, "norm").select("cluster", "value", "cnt")
 
 
 def cluster_stats(members: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from copy import copy
 from dataclasses import asdict, dataclass, field, replace
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from glyphloom.operators import clustering, synthesis
 from glyphloom.plans import pattern as P
+from glyphloom.plans.lineage import cut
 from glyphloom.sources import columns
 
 
@@ -81,6 +83,20 @@ class Profile:
             return self._members.where(F.col("cluster") == info.cluster).select("value", "cnt")
         return self._members.where(F.col("cluster").isin([p.cluster for p in self.patterns])).select("value", "cnt")
 
+    def release(self) -> None:
+        """Let go of what is cached. Nothing of the profile but its patterns and statistics is quick to use afterwards."""
+        for held in (self.counts, self._members):
+            held.unpersist()
+
+    def settle(self) -> Profile:
+        """The same profile with its members written down, so that its plan no longer holds what it was made from."""
+        out = copy(self)
+        kept = cut(self.members())
+        out.counts, out._members, out._anomalies = kept, kept.withColumn("cluster", F.lit(None).cast("int")), None
+        out.members = lambda info=None: kept
+        self.release()
+        return out
+
     def matches(self, value: Column) -> Column:
         return P.matches_any(value, [p.pattern for p in self.patterns])
 
@@ -96,6 +112,7 @@ class Profile:
         return {"patterns": [{k: getattr(p, k) for k in kept} for p in self.patterns], "stats": asdict(self.stats)}
 
     def summary(self) -> str:
+        # Fixed headings.
         s = self.stats
         out = ["Profile Summary", "===============", f"Total values: {s.total_values}", f"Distinct values: {s.distinct_values}", f"Pattern coverage: {_percent(s.total_coverage)}%", "", f"Patterns ({s.pattern_count}):"]
         out.append("\n".join(f"  {i}. {p.regex} ({_percent(p.coverage)}% coverage)" for i, p in enumerate(self.patterns, 1)))
@@ -120,20 +137,35 @@ def _infos(counts: DataFrame, found: list[tuple[int, P.Pattern]], total: int) ->
 
 def checked_counts(df: DataFrame, column: str, nulls: str = "error") -> tuple[DataFrame, int, int]:
     """Cached (value, cnt), the number of values, and of distinct ones."""
-    counts = columns.value_counts(df, column).cache()
+    return _checked(columns.value_counts(df, column), nulls)
+
+
+def _checked(counts: DataFrame, nulls: str) -> tuple[DataFrame, int, int]:
     null = F.col("value").isNull()
+    counts = counts.cache()
     row = counts.agg(F.sum(F.when(~null, F.col("cnt"))).alias("n"), F.count("value").alias("d"), F.sum(F.when(null, F.col("cnt"))).alias("nulls")).first()
     if row["nulls"] and nulls == "error":
+        counts.unpersist()
         raise columns.NonStringValuesError(f"{row['nulls']} nulls")
     if not row["n"]:
+        counts.unpersist()
         raise columns.EmptyInputError
-    return counts.where(~null), row["n"], row["d"]
+    if not row["nulls"]:
+        return counts, row["n"], row["d"]
+    some = counts.where(~null).cache()
+    some.count()
+    counts.unpersist()
+    return some, row["n"], row["d"]
 
 
 def profile(df: DataFrame, column: str = "value", **options) -> Profile:
     """Profile a string column. Counting distinct values is the only pass over the input."""
     opts = options["_options"] if "_options" in options else Options.of(options)
-    counts, total, distinct = checked_counts(df, column, opts.nulls)
+    return _profile(columns.value_counts(df, column), opts)
+
+
+def _profile(counts: DataFrame, opts: Options) -> Profile:
+    counts, total, distinct = _checked(counts, opts.nulls)
     if distinct <= opts.enum_threshold:
         values = [r["value"] for r in counts.select("value").collect()]
         members = counts.withColumn("cluster", F.lit(0))
@@ -160,6 +192,7 @@ def infer_pattern(df: DataFrame, column: str = "value", enum_threshold: int = 10
     """One pattern for everything: no clustering, no shortcut, no candidates."""
     counts, _, _ = checked_counts(df, column)
     positions = synthesis.collect_positions(counts.withColumn("cluster", F.lit(0)), max(enum_threshold, synthesis.SMALL_SET, 32) + 1)
+    counts.unpersist()
     return synthesis.synthesize(positions.get(0, []), enum_threshold)
 
 
@@ -168,5 +201,9 @@ def infer_regex(df: DataFrame, column: str = "value", **options) -> str:
 
 
 def profile_groups(df: DataFrame, column: str, group: str, **options) -> dict:
-    """An extension: a profile for each value of a low-cardinality group column."""
-    return {r[0]: profile(df.where(F.col(group).eqNullSafe(F.lit(r[0]))), column, **options) for r in df.select(group).distinct().orderBy(group).collect()}
+    """An extension: a profile for each value of a low-cardinality group column. The input is read once; each profile starts from its group's distinct values."""
+    counts = df.groupBy(F.col(group).alias("_group"), F.col(column).alias("value")).agg(F.count("*").alias("cnt"))
+    columns.value_counts(df, column)  # for its checks
+    counts = cut(counts)
+    keys = [r[0] for r in counts.select("_group").distinct().orderBy("_group").collect()]
+    return {k: _profile(counts.where(F.col("_group").eqNullSafe(F.lit(k))).drop("_group"), Options.of(options)) for k in keys}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from glyphloom.plans.pattern import Pattern, matches
 
 
+# The weights of a score, and how near two scores tie.
 @dataclass(frozen=True)
 class Weights:
     coverage: float = 2.0

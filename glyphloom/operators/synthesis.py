@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from glyphloom.functions import tokens as T
 from glyphloom.plans.pattern import Any, CharClass, Enum, Literal, Pattern, matches, seq
 
+# Enumeration thresholds tried, coverage asked for, sizes below which values are listed.
 THRESHOLDS = (5, 10, 20, 50)
 MIN_COVERAGE = 0.95
 SMALL_SET, REPETITION = 5, 0.3

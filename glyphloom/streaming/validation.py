@@ -22,13 +22,18 @@ def reject_stream(df: DataFrame, column: str, prof: profiling.Profile) -> DataFr
 
 
 def profile_batches(df: DataFrame, column: str, use: Callable[[profiling.Profile, int], None], **options):
-    """Profile each micro-batch, merged with what came before, and hand it to ``use``."""
+    """Profile each micro-batch, merged with what came before, and hand it to ``use``.
+
+    What is held between batches is the former profile with its members written down, so plans and caches don't grow.
+    """
     held: dict[str, profiling.Profile] = {}
 
     def batch(rows: DataFrame, epoch: int) -> None:
         if not rows.isEmpty():
             new = profiling.profile(rows, column, **options)
-            held["all"] = profiling.merge(held["all"], new) if "all" in held else new
-            use(held["all"], epoch)
+            found = profiling.merge(held["all"], new) if "all" in held else new
+            use(found, epoch)
+            held["all"] = found.settle()
+            new.release()
 
     return df.writeStream.foreachBatch(batch)

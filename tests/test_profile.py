@@ -107,12 +107,71 @@ def naive_merge(groups, threshold=0.3):
     return out
 
 
-def test_blocked_merge_equals_naive(spark):
+def merged(spark, values):
+    """The clusters in order as sets of skeletons, by the operator and by the naive merge of ranked groups."""
+    groups = clustering.initial_groups(columns.value_counts(columns.from_list(spark, values)))
+    ranked = [r["skeleton"] for r in groups.orderBy(F.desc("size"), "skeleton").collect()]
+    assigned, sizes = clustering.merge_groups(clustering.merged_groups(groups))
+    rows = groups.withColumn("norm", T.normalized_skeleton(F.col("skeleton"))).join(assigned, "norm").collect()
+    got = [{r["skeleton"] for r in rows if r["cluster"] == c} for c in range(len(sizes))]
+    assert sizes == [sum(r["size"] for r in rows if r["cluster"] == c) for c in range(len(sizes))]
+    return got, [{ranked[i] for i in c} for c in naive_merge(ranked)]
+
+
+def test_merge_equals_naive(spark):
     random.seed(4)
-    values = ["".join(random.choice("a1-.@ _") for _ in range(random.randint(1, 9))) for _ in range(300)]
-    groups = clustering.ranked_groups(columns.value_counts(columns.from_list(spark, values)))
-    skeletons = [r["skeleton"] for r in groups.orderBy("sid").collect()]
-    assert clustering.merge_groups(groups) == naive_merge(skeletons)
+    got, want = merged(spark, ["".join(random.choice("a1-.@ _") for _ in range(random.randint(1, 9))) for _ in range(300)])
+    assert got == want
+
+
+def test_free_text_merge_equals_naive(spark):
+    random.seed(5)
+    texts = [" ".join(random.choice(["word", "and,", "Two.", "x-y", "12"]) for _ in range(random.randint(1, 60))) for _ in range(80)]
+    got, want = merged(spark, texts)
+    assert got == want and len(got) < 30
+
+
+def test_long_values_are_not_quadratic(spark):
+    import time
+
+    value = "ab 1" * 6_667  # 20,001 tokens
+    began = time.time()
+    (row,) = columns.from_list(spark, [value]).select(T.tokenize(F.col("value")).alias("t")).select(F.size("t").alias("n"), F.col("t")[20_000]["position"].alias("last"), F.col("t")[10_000]["position"].alias("middle")).collect()
+    lengths = [2, 1, 1] * 6_667
+    assert (row.n, row.last, row.middle) == (20_001, sum(lengths[:20_000]), sum(lengths[:10_000]))
+    assert time.time() - began < 15  # seconds of a slow machine; appending one by one took 47 of a fast one
+
+
+def test_token_signs(spark):
+    row = columns.from_list(spark, ["AB-12 xé"]).select(F.transform(T.tokenize(F.col("value")), lambda t: F.struct(T.signature_char(t).alias("c"), T.token_signature(t).alias("s"))).alias("t")).first()["t"]
+    assert [(r["c"], r["s"]) for r in row] == [("U", "UU"), ("-", "-"), ("D", "DD"), ("_", "_"), ("L", "L"), ("é", "é")]
+    pairs = [("upper", "lower", True), ("digits", "digits", True), ("digits", "upper", False), ("alpha", "upper", True), ("delimiter", "whitespace", False)]
+    rows = spark.createDataFrame(pairs, "a string, b string, want boolean").select("want", T.compatible(F.col("a"), F.col("b")).alias("got")).collect()
+    assert all(r.want == r.got for r in rows)
+
+
+def test_options(spark):
+    values = [f"A-{i}" for i in range(97)] + ["~odd~", "@@@", "!x!"]
+    assert len(profile.profile_list(spark, values, min_coverage=0.0).patterns) > len(profile.profile_list(spark, values, min_coverage=0.5).patterns) == 1
+    off = profile.profile_list(spark, values, min_coverage=0.5, detect_anomalies=False)
+    assert off.stats.anomaly_count == 0 and off.anomalies().count() == 0
+    counts = columns.value_counts(columns.from_list(spark, values))
+    assert [s for s in clustering.cluster(counts, min_cluster_size=5).sizes.values()] == [97]
+
+
+def test_groups_and_batches(spark, tmp_path):
+    from glyphloom.streaming.validation import profile_batches
+
+    rows = spark.createDataFrame([("a", f"A-{i}") for i in range(20)] + [("b", f"{i}x") for i in range(20)], "g string, value string")
+    found = profile.profile_groups(rows, "value", "g")
+    assert {k: p.regexes() for k, p in found.items()} == {"a": profile.profile(rows.where("g = 'a'")).regexes(), "b": profile.profile(rows.where("g = 'b'")).regexes()}
+    for k in range(3):
+        spark.createDataFrame([(f"B-{100 * k + i}",) for i in range(15)], "value string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    seen = []
+    stream = spark.readStream.schema("value string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = profile_batches(stream, "value", lambda p, epoch: seen.append((p.stats.total_values, p.regexes()))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [n for n, _ in seen] == [15, 30, 45] and len(seen[-1][1]) == 1
 
 
 def test_scoring(spark):
