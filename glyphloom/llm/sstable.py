@@ -11,8 +11,12 @@ Keys are 9 bytes: a null mark, then the signed 64-bit id with its sign bit flipp
 (null first). A key shares its prefix with the entry before it in its block; a block's first entry shares nothing, so a
 reader binary-searches the index for the block and scans only that.
 
+Shards come in the order of id and a hash of the text, so that the rows of one id, or of none, may be dealt to several; a shard that
+reaches ``SHARD_BYTES`` is closed and the next begins, so neither its keys nor its index grow with the input.
+
 Defined cases: a null or empty text is a document of only the end id; repeated ids are all kept, next to each other, by
-their ids' bytes; an empty table gives no shard and no rows; other columns of the input, whatever their names, are ignored.
+that hash; an empty table gives no shard and no rows; other columns of the input, whatever their names, are ignored. The tokenizer's own
+special tokens in a text become their ids, as the library does by itself.
 """
 
 from __future__ import annotations
@@ -32,13 +36,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphloom.llm.shared import fresh_path, text_rows
+from glyphloom.llm.shared import Tidy, fresh_path, keep, text_rows
 
 MAGIC = b"GLSST001"
 FOOTER = struct.Struct("<QQQQQQBB8s")
 INDEX_ENTRY = struct.Struct("<QII")
 END_ID = 2
 BLOCK_BYTES = 64 * 1024
+SHARD_BYTES = 128 << 20
 BLOOM_BITS, BLOOM_PROBES = 10, 7
 
 
@@ -57,7 +62,7 @@ class WordCachedEncoder:
 
     Byte-level pre-tokenization always ends a token where white space begins, so a text may be cut before each space
     and the ids put together again. Runs of three or more white-space characters, or two at the end, would be cut
-    inside; such texts go to the library whole. ``limit`` bounds the cache's entries: beyond it the cache starts anew.
+    inside; such texts, and those with one of the tokenizer's added tokens, go to the library whole. ``limit`` bounds the cache's entries: beyond it the cache starts anew.
     """
 
     def __init__(self, path: str, limit: int = 1_000_000):
@@ -67,7 +72,7 @@ class WordCachedEncoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.kind = "<u4" if self.wide else "<u2"
         self.limit, self.words, self.heads = limit, {}, {}
@@ -104,7 +109,7 @@ class WordCachedEncoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian ids, two bytes each if the vocabulary allows, else four."""
-        if self.run.search(text):
+        if self.run.search(text) or any(t in text for t in self.added):
             return self._whole(text)
         if len(self.words) > self.limit:
             self.words.clear()
@@ -124,6 +129,7 @@ def encoder(path: str) -> WordCachedEncoder:
     """One encoder for each worker process."""
     if path not in _encoders:
         _encoders[path] = WordCachedEncoder(path)
+        keep("tokens", _encoders.clear)
     return _encoders[path]
 
 
@@ -170,6 +176,7 @@ class ShardWriter:
         self.sink, self.id_bytes, self.block_bytes = sink, id_bytes, block_bytes
         self.block, self.entries, self.first, self.last = bytearray(), 0, b"", b""
         self.index, self.keys, self.at, self.ids = [], [], 0, 0
+        self.size = 0
 
     def add(self, key: bytes, value: bytes) -> None:
         if self.keys and key < self.keys[-1]:
@@ -179,6 +186,7 @@ class ShardWriter:
         else:
             shared, self.first = 0, key
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
+        self.size += len(value)
         self.last, self.entries, self.ids = key, self.entries + 1, self.ids + len(value) // self.id_bytes
         self.keys.append(key)
         if len(self.block) >= self.block_bytes:
@@ -272,40 +280,36 @@ class _WriteShards:
     tokenizer: str
     end_id: int
     block_bytes: int
+    shard_bytes: int
 
     def __call__(self, batches):
-        """One shard a partition. Each attempt has a file of its own, and only the manifest's files count."""
-        coder, writer, name, first = encoder(self.tokenizer), None, "", None
+        """One shard a partition, or more of bounded size. Each attempt has files of its own, and only the manifest's files count."""
+        coder, writer, sink, made, task = encoder(self.tokenizer), None, None, 0, TaskContext.get()
         end = np.asarray([self.end_id], coder.kind).tobytes()
         fs, base = pafs.FileSystem.from_uri(self.folder)
-        sink, held, held_key = None, [], None
+        fs.create_dir(base, recursive=True)
+        begun = {}
 
-        def put():
-            for value in sorted(held):
-                writer.add(held_key, value)
-            held.clear()
+        def done():
+            entries, ids = writer.close()
+            sink.close()
+            return pa.RecordBatch.from_pylist([begun | {"entries": entries, "ids": ids}], SHARD_SCHEMA)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, text, print_ in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 if writer is None:
-                    task = TaskContext.get()
-                    name, first = f"shard-{task.partitionId():06d}-{task.taskAttemptId()}.sst", doc_id
-                    fs.create_dir(base, recursive=True)
-                    sink = fs.open_output_stream(f"{base}/{name}")
-                    writer = ShardWriter(sink, int(coder.kind[-1]), self.block_bytes)
-                key = key_of(doc_id)
-                if key != held_key:
-                    put()
-                    held_key = key
-                held.append(coder.encode(text.as_py()) + end)
+                    begun = {"shard": f"shard-{task.partitionId():06d}-{task.taskAttemptId()}-{made:05d}.sst", "first_id": doc_id, "first_print": print_}
+                    sink = fs.open_output_stream(f"{base}/{begun['shard']}")
+                    writer, made = ShardWriter(sink, int(coder.kind[-1]), self.block_bytes), made + 1
+                writer.add(key_of(doc_id), coder.encode(text.as_py()) + end)
+                if writer.size >= self.shard_bytes:
+                    yield done()
+                    writer = None
         if writer is not None:
-            put()
-            entries, ids = writer.close()
-            sink.close()
-            yield pa.RecordBatch.from_pylist([{"shard": name, "first_id": first, "entries": entries, "ids": ids}], SHARD_SCHEMA)
+            yield done()
 
 
-SHARD_SCHEMA = pa.schema([("shard", pa.string()), ("first_id", pa.int64()), ("entries", pa.int64()), ("ids", pa.int64())])
+SHARD_SCHEMA = pa.schema([("shard", pa.string()), ("first_id", pa.int64()), ("first_print", pa.int64()), ("entries", pa.int64()), ("ids", pa.int64())])
 ROW_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
@@ -334,16 +338,18 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], schema=ROW_SCHEMA)
 
 
-def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write ``docs`` (doc_id, text) as shards under ``folder`` in ascending doc_id; return the manifest, itself a table there.
 
-    The range partitions are the shards. The manifest has shard, first_id, entries, ids and start, the ids before it.
+    The manifest has shard, first_id, first_print (the hash of its first text), entries, ids and start, the ids before it.
     """
     spark = docs.sparkSession
-    rows = text_rows(docs).repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"))
-    rows.mapInArrow(_WriteShards(folder, tokenizer, end_id, block_bytes), "shard string, first_id long, entries long, ids long").write.parquet(f"{folder}/manifest")
-    before = Window.orderBy(F.asc_nulls_first("first_id"), "shard").rowsBetween(Window.unboundedPreceding, -1)
-    return spark.read.schema("shard string, first_id long, entries long, ids long").parquet(f"{folder}/manifest").withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
+    order = [F.asc_nulls_first("doc_id"), F.asc("print")]
+    rows = text_rows(docs).withColumn("print", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order)
+    columns = "shard string, first_id long, first_print long, entries long, ids long"
+    rows.mapInArrow(Tidy(_WriteShards(folder, tokenizer, end_id, block_bytes, shard_bytes), "tokens"), columns).write.parquet(f"{folder}/manifest")
+    before = Window.orderBy(F.asc_nulls_first("first_id"), "first_print", "shard").rowsBetween(Window.unboundedPreceding, -1)
+    return spark.read.schema(columns).parquet(f"{folder}/manifest").withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
 
 
 def read_shards(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
