@@ -12,7 +12,7 @@ digits alone are words and numbers, not encodings). Against that encoding's alph
 
 A run is a candidate if none of the three speaks against randomness (each at ``VETO``). How unlikely ordinary text would be
 to look as random gives its p-value: text draws letters unevenly and seldom changes class (``CLASS_CHANGE`` a character),
-so it has a larger chi-squared and fewer class runs. Benjamini-Hochberg at ``FALSE_DISCOVERY`` over all runs of all
+so it has a larger chi-squared and fewer class runs; signs between words and words' first capitals don't count. Benjamini-Hochberg at ``FALSE_DISCOVERY`` over all runs of all
 documents decides, each p-value weighted by its length, as longer runs have more power; the histogram of p-values by
 length that this takes has a fixed number of cells, whatever the input's size.
 
@@ -45,7 +45,7 @@ MIN_RUN = 20
 PADDING = 6  # base 32 has the most
 RUN = re.compile(rf"[A-Za-z0-9+/_-]{{{MIN_RUN - PADDING},}}={{0,{PADDING}}}")
 VETO = 1e-4
-CLASS_CHANGE = 0.08
+CLASS_CHANGE = 0.08  # about twice what runs of joined words show, signs and first capitals left out
 FALSE_DISCOVERY = 0.01
 LENGTH_STEP, LENGTH_CELLS = 8, 16
 P_STEP, P_CELLS = 10, 400  # tenths of a power of ten
@@ -53,6 +53,7 @@ P_STEP, P_CELLS = 10, 400  # tenths of a power of ten
 # Encodings from narrow to wide: the characters, as a regex class, and how many.
 ENCODINGS = (("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+"), 16), ("base32", re.compile(r"[A-Z2-7]+"), 32), ("base36", re.compile(r"[0-9a-z]+|[0-9A-Z]+"), 36), ("base62", re.compile(r"[0-9A-Za-z]+"), 62), ("base64", re.compile(r"[0-9A-Za-z+/]+|[0-9A-Za-z_-]+"), 64))
 STRETCHES = tuple(re.compile(f"{chars}{{{MIN_RUN - PADDING},}}={{0,{PADDING}}}") for chars in ("[0-9a-f]", "[0-9A-F]", "[A-Z2-7]", "[0-9a-z]", "[0-9A-Z]", "[0-9A-Za-z]", "[0-9A-Za-z+/]", "[0-9A-Za-z_-]"))
+CAPITAL = re.compile(r"[A-Z](?=[a-z])")
 PLAIN = re.compile(r"[0-9]+|[a-z]+|[A-Z]+|[A-Z][a-z]+")
 
 
@@ -108,10 +109,14 @@ def battery(run: str) -> float:
     serial = sum((a - m) * (b - m) for a, b in zip(x, x[1:], strict=False)) / around if around else 1.0
     if 2 * _upper(abs(serial + 1 / n) * math.sqrt(n)) < VETO:
         return 1.0
-    # Under text: letters at about twice the index of coincidence of uniform ones, classes changing seldom.
+    # Under text: letters at about twice the index of coincidence of uniform ones, and neighbours of different class seldom.
+    # Signs join words as often as they please, so only neighbours that both are letters or digits say anything, and a capital
+    # that begins a word in small letters counts as one of them.
     text_chi = (size - 1) + (n - 1) * 0.7
     p_chi = _upper((text_chi - chi) / math.sqrt(2 * (size - 1) + 2.8 * (n - 1)))
-    p_runs = _binomial_upper(changes, n - 1, CLASS_CHANGE)
+    plain = [_class(c) for c in CAPITAL.sub("a", body)]
+    inner = [(a, b) for a, b in zip(plain, plain[1:], strict=False) if a != 3 != b]
+    p_runs = _binomial_upper(sum(a != b for a, b in inner), len(inner), CLASS_CHANGE)
     joint = -2 * (math.log(max(p_chi, 1e-300)) + math.log(max(p_runs, 1e-300)))
     return math.exp(-joint / 2) * (1 + joint / 2)  # Fisher's method: chi-squared with four degrees of freedom
 
