@@ -22,9 +22,9 @@ START, END = "<|im_start|>", "<|im_end|>"
 
 
 def rendered(role: Column, text: Column) -> Column:
-    """One turn; markers inside a text are broken so that it can't forge a turn."""
-    safe = F.regexp_replace(text, r"<\|(im_start|im_end)\|>", "<| $1 |>")
-    return F.concat(F.lit(START), role, F.lit("\n"), safe, F.lit(END + "\n"))
+    """One turn; markers inside a role or a text are broken so that neither can forge a turn, and a role stays on its line."""
+    safe = lambda c: F.regexp_replace(c, r"<\|(im_start|im_end)\|>", "<| $1 |>")
+    return F.concat(F.lit(START), safe(F.translate(role, "\r\n", "  ")), F.lit("\n"), safe(text), F.lit(END + "\n"))
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
@@ -68,6 +68,7 @@ def render(turns: DataFrame) -> DataFrame:
 
 def snapshots_sql() -> str:
     """The same rows in DuckDB, for conversations of at most BLOCK turns numbered from 0."""
+    safe = lambda c: f"regexp_replace({c}, '<\\|(im_start|im_end)\\|>', '<| \\1 |>', 'g')"
     return f"""
 with t as (select distinct conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
 p as (select conv_id, row_number() over w as place, string_agg(md5(role) || md5(text), '') over w as prefix, role, text from t window w as (partition by conv_id order by turn, role, text)),
@@ -76,5 +77,5 @@ f as (select p.conv_id, n_turns, md5(prefix) as h from p join n using (conv_id)
 one as (select min(conv_id) as conv_id, n_turns, h from f group by n_turns, h),
 proper as (select distinct place as n_turns, md5(prefix) as h from p join n using (conv_id) where place < n.n_turns),
 kept as (select conv_id, n_turns from one anti join proper using (n_turns, h)),
-r as (select conv_id, n_turns, min(place) as first_turn, string_agg('{START}' || role || chr(10) || regexp_replace(text, '<\\|(im_start|im_end)\\|>', '<| \\1 |>', 'g') || '{END}' || chr(10), '' order by place) as rendered from p join kept using (conv_id) group by conv_id, n_turns)
+r as (select conv_id, n_turns, min(place) as first_turn, string_agg('{START}' || {safe("translate(role, chr(13) || chr(10), '  ')")} || chr(10) || {safe('text')} || '{END}' || chr(10), '' order by place) as rendered from p join kept using (conv_id) group by conv_id, n_turns)
 select conv_id, n_turns, first_turn, rendered, length(rendered) as n_chars from r"""
