@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from glyphloom.llm.shared import materialise, text_rows
+from glyphloom.llm.shared import Tidy, materialise, text_rows
 
 BLOCK = 4096
 RATE = 8000
@@ -502,6 +502,29 @@ def _restore(frames: list[np.ndarray], jobs: list, residuals: np.ndarray) -> Non
             frames[jobs[i][0]][:] = x[:, c]
 
 
+def _frames(s: Stream, first: int, last: int) -> Stream:
+    """Some of a stream's frames as a stream of their own."""
+    keep = s.points[first:last]
+    end = s.points[last][1] if last < len(s.points) else len(s.data) - s.start
+    part = Stream.__new__(Stream)
+    part.data, part.start, part.bits, part.channels = s.data[s.start + keep[0][1] : s.start + end], 0, s.bits, 1
+    part.points = [(a, o - keep[0][1], c) for a, o, c in keep]
+    return part
+
+
+def _decode_long(s: Stream) -> tuple[bytes, list[int]]:
+    """A file of more than TOGETHER samples, so many frames at a time."""
+    digest, out, kinds, each = hashlib.md5(), bytearray(), [0] * 4, max(1, TOGETHER // BLOCK)
+    for first in range(0, len(s.points), each):
+        (x,), (counts,) = _decode_together([_frames(s, first, min(first + each, len(s.points)))])
+        digest.update(x.tobytes())
+        out += (x.view(np.uint8) ^ 128).tobytes()
+        kinds = [a + b for a, b in zip(kinds, counts, strict=True)]
+    if digest.digest() != s.md5:
+        raise ValueError("the samples' digest is wrong")
+    return bytes(out), kinds
+
+
 def decode(files: list[bytes]) -> tuple[list[bytes], list[list[int]]]:
     """Payloads of files made by ``encode`` (checked against their digests), and frames by kind of each."""
     streams = [Stream(f) for f in files]
@@ -509,9 +532,11 @@ def decode(files: list[bytes]) -> tuple[list[bytes], list[list[int]]]:
         raise ValueError("not made by encode(); use decode_plain()")
     payloads, kinds, some, held = [], [], [], 0
     for i, s in enumerate(streams):
-        some.append(s)
-        held += s.samples
-        if held >= TOGETHER or i == len(streams) - 1:
+        long = s.samples > TOGETHER
+        if not long:
+            some.append(s)
+            held += s.samples
+        if some and (long or held >= TOGETHER or i == len(streams) - 1):
             samples, counts = _decode_together(some)
             for stream, x in zip(some, samples, strict=True):
                 if hashlib.md5(x.tobytes()).digest() != stream.md5:
@@ -519,6 +544,10 @@ def decode(files: list[bytes]) -> tuple[list[bytes], list[list[int]]]:
                 payloads.append((x.view(np.uint8) ^ 128).tobytes())
             kinds += counts
             some, held = [], 0
+        if long:
+            payload, counts = _decode_long(s)
+            payloads.append(payload)
+            kinds.append(counts)
     return payloads, kinds
 
 
@@ -526,13 +555,9 @@ def samples_from(data: bytes, sample: int, count: int) -> np.ndarray:
     """``count`` samples from ``sample`` on, reading only the frames that hold them."""
     s = Stream(data)
     first = max(i for i, p in enumerate(s.points) if p[0] <= sample)
-    keep = [p for p in s.points[first:] if p[0] < sample + count]
-    end = s.points[first + len(keep)][1] if first + len(keep) < len(s.points) else len(data) - s.start
-    part = Stream.__new__(Stream)
-    part.data, part.start, part.bits, part.channels = data[s.start + keep[0][1] : s.start + end], 0, s.bits, 1
-    part.points = [(a, o - keep[0][1], c) for a, o, c in keep]
-    got = _decode_together([part])[0][0]
-    return got[sample - keep[0][0] :][:count]
+    last = first + sum(p[0] < sample + count for p in s.points[first:])
+    got = _decode_together([_frames(s, first, last)])[0][0]
+    return got[sample - s.points[first][0] :][:count]
 
 
 # -- columns ------------------------------------------------------------------------------------------------------------
@@ -567,9 +592,18 @@ def _to_media(batches):
 
 
 def _features(payload: bytes, kinds: list[int]) -> str:
-    x = (np.frombuffer(payload, np.uint8) ^ 128).view(np.int8).astype(np.int64)
-    crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-    return f"frames={sum(kinds)};constant={kinds[0]};verbatim={kinds[1]};fixed={kinds[2]};linear={kinds[3]};peak={int(np.abs(x).max())};energy={int((x * x).sum())};crossings={crossings}"
+    samples = (np.frombuffer(payload, np.uint8) ^ 128).view(np.int8)
+    peak = energy = crossings = 0
+    for at in range(0, len(samples), CHUNK):
+        x = samples[at : at + CHUNK + 1].astype(np.int64)  # one more, for the crossing between two chunks
+        crossings += int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
+        peak, energy = max(peak, int(np.abs(x).max())), energy + int((x[:CHUNK] * x[:CHUNK]).sum())
+    return f"frames={sum(kinds)};constant={kinds[0]};verbatim={kinds[1]};fixed={kinds[2]};linear={kinds[3]};peak={peak};energy={energy};crossings={crossings}"
+
+
+def _blocks(s: Stream) -> list[dict]:
+    """Where a file's PCM blocks begin: each by its first sample, and by its frame's place in the file."""
+    return [{"first_sample": a, "byte_offset": s.start + o, "n_samples": c} for a, o, c in s.points]
 
 
 def _from_media(batches):
@@ -580,20 +614,20 @@ def _from_media(batches):
             distinct = list(dict.fromkeys(files))
             found = {}
             for f, p, kinds in zip(distinct, *decode(distinct), strict=True):
-                found[f] = (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(f), hashlib.sha256(f).hexdigest(), _features(p, kinds))
-            columns = [[i for i, *_ in some], [n for _, n, _ in some], *([found[f][c] for f in files] for c in range(6))]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                found[f] = (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(f), hashlib.sha256(f).hexdigest(), _features(p, kinds), _blocks(Stream(f)))
+            columns = [[i for i, *_ in some], [n for _, n, _ in some], *([found[f][c] for f in files] for c in range(7))]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("first_sample", pa.int64()), ("byte_offset", pa.int64()), ("n_samples", pa.int64())]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "blocks"])
 
 
 def media_column(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media, the FLAC file of each whole text."""
-    return text_rows(docs).mapInArrow(_to_media, "doc_id long, n_bytes long, media binary")
+    return text_rows(docs).mapInArrow(Tidy(_to_media), "doc_id long, n_bytes long, media binary")
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """What the stored files hold: sizes, digests and features of the decoded payloads."""
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_from_media, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    """What the stored files hold: sizes, digests and features of the decoded payloads, and where their PCM blocks begin."""
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(Tidy(_from_media), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, blocks array<struct<first_sample:long,byte_offset:long,n_samples:long>>")
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
@@ -604,7 +638,7 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
             for doc_id, m in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = Stream(m.as_py())
                 pcm = decode([s.data])[0][0]
-                rows = [{"doc_id": doc_id, "first_sample": a, "byte_offset": s.start + o, "n_samples": c, "pcm": pcm[a : a + c]} for a, o, c in s.points]
+                rows = [b | {"doc_id": doc_id, "pcm": pcm[b["first_sample"] :][: b["n_samples"]]} for b in _blocks(s)]
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("first_sample", pa.int64()), ("byte_offset", pa.int64()), ("n_samples", pa.int64()), ("pcm", pa.binary())]))
 
     return media.select("doc_id", "media").mapInArrow(blocks, "doc_id long, first_sample long, byte_offset long, n_samples long, pcm binary")
