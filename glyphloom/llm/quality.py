@@ -3,7 +3,8 @@
 Two logistic models over hashed words and a few shape features give each document's probability of good quality and of being
 toxic. They are fitted on at most about ``SAMPLE`` labelled rows. Sites (source) and paths (source and lang) then get
 beta posteriors from all documents: a path is shrunk toward its site and a site toward the whole, by prior strengths that the
-method of moments takes from the spread between groups, so that a group with few documents says little. A document's
+method of moments takes from the spread between groups, so that a group with few documents says little. A document's own score is
+left out of its path's and site's means, so its text is not counted twice. A document's
 posterior adds its path's log odds, relative to the whole, to its own; toxicity stands on the text alone.
 
 Defined cases: a null or empty text has no words and scores as the prior; a null source or lang is a group of its own; labels
@@ -150,15 +151,16 @@ def classify(docs: DataFrame, labels: DataFrame, model: Model | None = None) ->
         whole = 0.5
     sites = paths.groupBy("site").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).withColumn("whole", F.lit(float(whole)))
     a = _strength(sites, "whole")
-    posterior = sites.select("site", ((F.col("s") + a * F.col("whole")) / (F.col("n") + a)).alias("site_quality"))
+    posterior = sites.select("site", F.col("n").alias("site_n"), F.col("s").alias("site_s"), ((F.col("s") + a * F.col("whole")) / (F.col("n") + a)).alias("site_quality"))
     by_path = materialise(paths.join(posterior, "site"), "path-sites")
     b = _strength(by_path, "site_quality")
-    path = by_path.select("site", "path", ((F.col("s") + b * F.col("site_quality")) / (F.col("n") + b)).alias("path_quality"))
     logit = lambda p: F.log(p / (1 - p))
     bounded = lambda c: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(c)))
-    path = materialise(path, "path-posteriors")
-    path = F.broadcast(path) if path.count() <= 100_000 else path.hint("merge")
-    joined = scored.join(path, ["site", "path"])
+    by_path = F.broadcast(by_path) if by_path.count() <= 100_000 else by_path.hint("merge")
+    own = F.col("text_quality")
+    site = (F.col("site_s") - own + a * float(whole)) / (F.col("site_n") - 1 + a)
+    others = scored.join(by_path, ["site", "path"]).withColumn("site_quality", site)
+    joined = others.withColumn("path_quality", (F.col("s") - own + b * F.col("site_quality")) / (F.col("n") - 1 + b))
     total = logit(bounded("text_quality")) + GROUP_WEIGHT * (logit(bounded("path_quality")) - float(np.log(whole / (1 - whole))))
     quality = 1 / (1 + F.exp(-total))
     return joined.select("doc_id", "text_quality", "path_quality", quality.alias("quality"), "toxic", ((quality >= MIN_QUALITY) & (F.col("toxic") <= MAX_TOXIC)).alias("kept"))
