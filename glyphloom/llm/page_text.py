@@ -21,7 +21,7 @@ import html as entities
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -60,6 +60,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, int, str]]]:
     nodes, runs, block, at, n = [Node("root")], [], 0, 0, len(page)
     stack: list[tuple[str, int, bool]] = [("root", 0, False)]  # tag, node, silent
     links = 0
+    opened: Counter[str] = Counter()  # so that a stray end tag needs no look at the stack
 
     def text(upto: int) -> None:
         if upto > at and not stack[-1][2]:
@@ -76,6 +77,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, int, str]]]:
         for tag, _, _ in stack[i:]:
             block += tag in BLOCK
             links -= tag == "a"
+            opened[tag] -= 1
         del stack[i:]
 
     while at < n:
@@ -89,6 +91,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, int, str]]]:
         if not tag:
             continue
         if m[1]:
+            if not opened[tag]:
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
                     close(i)
@@ -104,7 +108,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, int, str]]]:
         if tag in VOID:
             continue
         ends = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
-        for i in range(len(stack) - 1, 0, -1):
+        for i in range(len(stack) - 1 if ends else 0, 0, -1):
             if stack[i][0] in ends:
                 close(i)
                 if tag != "tr":
@@ -119,6 +123,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, int, str]]]:
             node = len(nodes) - 1
         block += tag in BLOCK
         links += tag == "a"
+        opened[tag] += 1
         stack.append((tag, node, stack[-1][2] or tag in SILENT))
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
