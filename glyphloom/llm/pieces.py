@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,8 +37,8 @@ from pyspark.sql import DataFrame
 from glyphloom.llm.shared import Tidy, keep, text_rows
 
 SPACE = "▁"
-CACHE = 80_000  # parts in a generation
-SLOTS = 1 << 19  # for weights of pairs
+CACHE = 120_000  # parts in a generation
+PAIRS = 300_000  # weights kept
 CACHED_LENGTH = 40  # longer parts are seldom met again
 PENALTY = 1.0
 PLACES = 22  # bits of a symbol: ids, then characters without one
@@ -68,39 +67,40 @@ class Transducer:
         turns = {v: i for i, v in enumerate(sorted(set(long.values())))}
         self.rank = {p: turns[v] for p, v in long.items()}  # when a merge's turn comes
         self.halves: dict[str, tuple[str, str] | None] = {}
-        self.pairs = array("Q", bytes(8 * SLOTS))
+        self.pairs: dict[int, float] = {}
         self.codes: dict[int, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.many = len(kinds)
-        self.arcs, self.ends, self.single = self._compile()
-        self.heads = {c: (self._symbol(c), self.arcs.get(ord(c))) for c in {" ", *map(chr, filter(lambda k: k < 1 << PLACES and not k >> 21, self.arcs))}}
+        self.single = {p: i for i, p in self.names.items() if len(p) == 1}
+        self.arcs = self._compile()
+        self.heads = {chr(k): (self._symbol(chr(k)), to) for k, (to, _) in self.arcs.items() if k < 1 << PLACES}
         self.inside = {p[i : i + 2] for p in self.names.values() for i in range(len(p) - 1)}
 
     # -- the machines -----------------------------------------------------------------------------------------------
 
-    def _compile(self) -> tuple[dict[int, int], dict[int, int], dict[str, int]]:
-        """Arcs (state, character) to state of N composed with P; the piece that is spelled at a state; pieces of one character.
+    def _compile(self) -> dict[int, tuple[int, int]]:
+        """Arcs of N composed with P: by (state, character), the next state and the piece that is spelled there, or -1.
 
         The machine is reversed, so that from a place it finds the arcs that enter it. A piece that merging can't make is on no
         path, so it gets no arcs.
         """
-        arcs, ends, states = {}, {}, 1
+        arcs, states = {}, 1
         for i, piece in self.names.items():
             if len(piece) > 1 and not self._halves(piece):
                 continue
             state = 0
-            for char in reversed(piece):
-                to = arcs.get(state << PLACES | ord(char))
-                if to is None:
+            for k, char in enumerate(reversed(piece), 1):
+                key = state << PLACES | ord(char)
+                to, symbol = arcs.get(key, (0, -1))
+                if not to:
                     to = states
                     states += 1
-                    for label in (SPACE, " ") if char == SPACE else (char,):
-                        arcs[state << PLACES | ord(label)] = to
+                for label in (SPACE, " ") if char == SPACE else (char,):
+                    arcs[state << PLACES | ord(label)] = (to, i if k == len(piece) else symbol)
                 state = to
-            ends[state] = i
-        return arcs, ends, {p: i for i, p in self.names.items() if len(p) == 1}
+        return arcs
 
     def _symbol(self, char: str) -> int:
         """A character's own piece, or the arc of byte fallback that writes it."""
@@ -143,25 +143,26 @@ class Transducer:
                 return True
 
     def weight(self, before: int, symbol: int) -> float:
-        """An arc's weight after a symbol; the first arc of a path weighs nothing. Kept in a table of fixed size, by a hash of the pair."""
+        """An arc's weight after a symbol; the first arc of a path weighs nothing."""
         key = before << PLACES | symbol
-        slot = (key * 0x9E3779B1 >> 12) & SLOTS - 1
-        got = self.pairs[slot] >> 1
-        if got != key:
-            self.pairs[slot] = key << 1 | (not self._untouched(self._name(before), self._name(symbol)))
-        return PENALTY if self.pairs[slot] & 1 else 0.0
+        got = self.pairs.get(key)
+        if got is None:
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
+            got = self.pairs[key] = 0.0 if self._untouched(self._name(before), self._name(symbol)) else PENALTY
+        return got
 
     # -- composition and shortest path ------------------------------------------------------------------------------
 
     def lattice(self, part: str, end: int) -> list[tuple[int, int]]:
         """The arcs (start, symbol) of the composition with ``part`` that enter one place, shorter ones first."""
-        arcs, ends, at = self.arcs, self.ends, end - 1
-        out, state = [(at, self._symbol(part[at]))], arcs.get(ord(part[at]))
+        at = end - 1
+        out, state = [(at, self._symbol(part[at]))], self.arcs.get(ord(part[at]), (None,))[0]
         while state is not None and at:
             at -= 1
-            state = arcs.get(state << PLACES | ord(part[at]))
-            if state in ends:
-                out.append((at, ends[state]))
+            state, symbol = self.arcs.get(state << PLACES | ord(part[at]), (None, -1))
+            if symbol >= 0:
+                out.append((at, symbol))
         return out
 
     def shortest(self, part: str) -> tuple[float, list[int]]:
@@ -170,29 +171,32 @@ class Transducer:
         Here the arcs of ``lattice`` are followed and relaxed in one. No weight is below 0, so a place reached at 0 is final; merging
         has one result for each prefix, so only one symbol ends there at 0.
         """
-        arcs, ends, pairs, points = self.arcs, self.ends, self.pairs, [ord(c) for c in part]
-        last, back = [-1], [0]
-        heads = self.heads
-        for end in range(1, len(part) + 1):
+        follow, heads, weigh = self.arcs.get, self.heads, self.pairs.get
+        points, last, back = [ord(c) for c in part], [-1], [0]
+        for end, char in enumerate(part, 1):
             at = end - 1
-            head = heads.get(part[at])
-            symbol, state = (self._symbol(part[at]), None) if head is None else head
+            head = heads.get(char)
+            symbol, state = (self.many + ord(char), 0) if head is None else head
             while True:
-                if symbol is not None:
+                if symbol >= 0:
                     if not at:
                         break
                     before = last[at]
                     if before >= 0:
-                        pair = before << PLACES | symbol
-                        held = pairs[(pair * 0x9E3779B1 >> 12) & SLOTS - 1]
-                        if not (held & 1 if held >> 1 == pair else self.weight(before, symbol)):
+                        w = weigh(before << PLACES | symbol)
+                        if w is None:
+                            w = self.weight(before, symbol)
+                        if not w:
                             break
-                if state is None or not at:
+                if not state or not at:
                     symbol = -1
                     break
                 at -= 1
-                state = arcs.get(state << PLACES | points[at])
-                symbol = ends.get(state)
+                arc = follow(state << PLACES | points[at])
+                if arc is None:
+                    symbol = -1
+                    break
+                state, symbol = arc
             last.append(symbol)
             back.append(at)
         if symbol < 0:
