@@ -117,14 +117,17 @@ def _held(rows: DataFrame, wanted: DataFrame, form: str) -> DataFrame:
     """A line for each text and item it holds in one form."""
     sizes = _sizes(wanted) or [WINDOW]
     side = _small(wanted.select("size", "hash", "item_id", "copy", "ipos", "item_windows", "slots"), BROADCAST_WINDOWS)
-    found = materialise(_windows(rows, _words(F.col("text"), False, form), sizes).join(side, ["size", "hash"]).distinct(), "matches")
+    found = materialise(_windows(rows, _words(F.col("text"), False, form), sizes).join(side, ["size", "hash"]), "matches")
+    # Only an item with enough windows in a text can be held there, whatever its slots say; the tests below can only take windows away.
+    pair, place = ["row", "item_id", "copy"], ["row", "item_id", "copy", "ipos", "pos"]
+    enough = found.select(*pair, "item_windows", "ipos").distinct().groupBy(*pair, "item_windows").count().where(F.col("count") >= F.least("item_windows", F.lit(MIN_WINDOWS)))
+    found = materialise(found.join(enough.select(*pair), pair, "left_semi"), "enough")
     # Windows with slots are held against the text's surfaces.
     slotted = F.size("slots") > 0
     to_test = _small(materialise(found.where(slotted).select("row").distinct(), "slotted"), BROADCAST_IDS)
     surfaces = rows.join(to_test, "row", "left_semi").select("row", _words(F.col("text"), True, form).alias("full"))
     filled = found.where(slotted).join(surfaces, "row").withColumn("own", _slots("full", F.col("pos"), F.col("size"))).drop("full")
-    tested = materialise(filled.where(_pattern(F.col("own")) == _pattern(F.col("slots"))).distinct(), "filled-alike")
-    pair, place = ["row", "item_id", "copy"], ["row", "item_id", "copy", "ipos", "pos"]
+    tested = materialise(filled.where(_pattern(F.col("own")) == _pattern(F.col("slots"))), "filled-alike")
     said = materialise(tested.select(*place, F.explode(F.arrays_zip("slots", "own")).alias("z")).select(*place, F.col("z.slots").alias("s"), F.col("z.own").alias("o")).distinct(), "said")
     votes = said.select(*pair, "ipos", "s", "o").distinct().groupBy(*pair, "s", "o").agg((-F.count("*")).alias("n"))
     first = votes.groupBy(*pair, "s").agg(F.min(F.struct("n", "o")).alias("b")).select(*pair, "s", "b.*")
