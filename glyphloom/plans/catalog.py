@@ -30,6 +30,18 @@ _TYPE = f"case when regexp_full_match({{0}}, '[0-9]+') then 'digits' when regexp
 _SIGN = "translate(replace({0}, chr(13) || chr(10), chr(10)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789 ' || chr(9) || chr(10) || chr(13), '" + "U" * 26 + "L" * 26 + "D" * 10 + "____')"
 _ESCAPED = "regexp_replace({0}, '([.^$*+?()\\[\\]{}|#\\\\ -])', '\\\\\\1', 'g')"
 
+# The greedy merge of pages.url in SQL: classes of one normalized skeleton in leader order, and each leader's near ones taken from what is left.
+_CLUSTERS = f"""with recursive s as (select {_SKELETON.replace('{0}', 'url')} as skeleton, count(*) as size from pages group by 1),
+ n as (select regexp_replace(skeleton, 'X+', 'X', 'g') as norm, sum(size) as size, row_number() over (order by min(row(-size, skeleton))) as k from s group by 1),
+ near as (select a.k, list(b.k) as lst from n a join n b on a.norm = b.norm or levenshtein(a.norm, b.norm)::double / greatest(length(a.norm), length(b.norm)) <= 0.3 group by 1),
+ r as (select 0 as step, 0::bigint as leader, []::bigint[] as took, (select list(k order by k) from n) as remaining
+  union all select step + 1, remaining[1], list_filter(remaining, lambda x: list_contains(lst, x)), list_filter(remaining, lambda x: not list_contains(lst, x)) from r join near on near.k = remaining[1] where len(remaining) > 0),
+ c as (select step, unnest(took) as k from r where step > 0),
+ z as (select step, sum(size) as size from c join n using (k) group by 1),
+ o as (select step, case when count(*) over () > 5 then least(row_number() over (order by size desc, step), 5) - 1 else step - 1 end as cluster from z),
+ numbered as (select norm, size, cluster::bigint as cluster from c join n using (k) join o using (step))
+ """
+
 
 def _queries() -> dict[str, tuple[Query, str | None]]:
     out: dict[str, tuple[Query, str | None]] = {}
@@ -157,22 +169,70 @@ def _queries() -> dict[str, tuple[Query, str | None]]:
         found = profile.profile_groups(rows, "value", "scheme")
         return spark.createDataFrame([(k, p.stats.total_values, p.stats.distinct_values) for k, p in found.items()], "scheme string, total_values long, distinct_values long")
 
-    @add("greedy_merge")
+    @add("greedy_merge", _CLUSTERS + "select cluster, sum(size)::bigint as size from numbered group by 1")
     def _(spark, sf):
         counts = value_counts(column(spark, sf, "pages", "url"))
         found = clustering.cluster(counts, 5)
         return spark.createDataFrame(list(found.sizes.items()), "cluster long, size long")
 
-    @add("representatives")
+    @add("representatives", _CLUSTERS + f""", v as (select url as value, count(*) as cnt, length(url) as len, regexp_replace({_SKELETON.replace('{0}', 'url')}, 'X+', 'X', 'g') as norm from pages group by 1),
+ m as (select cluster, value, cnt, len from v join numbered using (norm)),
+ u as (select cluster, len, sum(cnt) over (partition by cluster order by len) as upto, sum(cnt) over (partition by cluster) as total from m),
+ med as (select cluster, min(len) as median from u where upto > floor(total / 2) group by 1),
+ best as (select cluster, value, row_number() over (partition by cluster order by abs(len - median), value) as rn from m join med using (cluster))
+ select cluster, value as representative, {_SIGN.replace('{0}', 'value')} as signature, {_COMPACT.replace('{0}', 'value')} as compact_signature from best where rn = 1""")
     def _(spark, sf):
         counts = value_counts(column(spark, sf, "pages", "url"))
-        return clustering.representatives(clustering.with_cluster(counts, clustering.cluster(counts, 5)))
+        found = clustering.representatives(clustering.with_cluster(counts, clustering.cluster(counts, 5)))
+        return found.withColumn("cluster", F.col("cluster").cast("long"))
+
+    urls = f"(select distinct token, {_TYPE.replace('{0}', 'token')} as type from (select unnest(regexp_extract_all(url, {TOK})) as token from pages))"
+
+    @add("token_signatures", f"select token, sign, case when type in ('delimiter', 'literal') then token else repeat(sign, length(token)::int) end as signature from (select *, case type when 'digits' then 'D' when 'upper' then 'U' when 'lower' then 'L' when 'whitespace' then '_' else token end as sign from {urls})")
+    def _(spark, sf):
+        t = F.col("t")
+        rows = column(spark, sf, "pages", "url").select(F.explode(T.tokenize(F.col("value"))).alias("t"))
+        return rows.select(t["value"].alias("token"), T.signature_char(t).alias("sign"), T.token_signature(t).alias("signature")).distinct()
+
+    @add("compatible_types", f"with k as (select distinct type from {urls}) select a.type as one, b.type as two, a.type = b.type or (a.type in ('upper', 'lower', 'alpha') and b.type in ('upper', 'lower', 'alpha')) as compatible from k a join k b on a.type <= b.type")
+    def _(spark, sf):
+        kinds = column(spark, sf, "pages", "url").select(F.explode(T.tokenize(F.col("value"))).alias("t")).select(F.col("t.type").alias("one")).distinct()
+        return kinds.join(kinds.withColumnRenamed("one", "two"), F.col("one") <= F.col("two")).select("one", "two", T.compatible(F.col("one"), F.col("two")).alias("compatible"))
+
+    brands = "(select kind, 2.0 * (1 - c) + 1.5 * (1 - p) + x + 0.5 * (1 - i) as total_score from (select 'fixed' as kind, avg(case when regexp_full_match(p_brand, 'Brand#[0-9]{2}') then 1.0 else 0.0 end)::double as c, (1.0 + 1.0 + 0.9) / 3 as p, (1.5 + 1.1 + 1.0) / 50 as x, 1.0::double as i from part union all select 'any', 1.0::double, 0.1::double, 10.0::double / 50, 1.0::double))"
+
+    @add("rank_patterns", f"select kind, row_number() over (order by total_score) as place from {brands}")
+    def _(spark, sf):
+        fixed = P.seq([P.literal("Brand"), P.literal("#"), P.char_class("digit", 2, 2)])
+        ranked = scoring.rank(value_counts(column(spark, sf, "part", "p_brand")), [P.any_(), fixed])
+        return spark.createDataFrame([("fixed" if p == fixed else "any", i) for i, (p, _) in enumerate(ranked, 1)], "kind string, place long")
+
+    @add("compare_patterns", f"select case when abs(a.total_score - b.total_score) < 0.01 then 'tie' when a.total_score < b.total_score then 'first' else 'second' end as winner, case when abs(a.total_score - b.total_score) < 0.01 then a.total_score else least(a.total_score, b.total_score) end as total_score from {brands} a, {brands} b where a.kind = 'any' and b.kind = 'fixed'")
+    def _(spark, sf):
+        fixed = P.seq([P.literal("Brand"), P.literal("#"), P.char_class("digit", 2, 2)])
+        winner, score = scoring.compare(value_counts(column(spark, sf, "part", "p_brand")), P.any_(), fixed)
+        return spark.createDataFrame([(winner, float(score))], "winner string, total_score double")
+
+    @add("pattern_report", "with t as (select p_brand as v, regexp_full_match(p_brand, 'Brand#[0-9]{2}') as ok from part) select count(*) as total_strings, sum(ok::int)::bigint as matched_count, sum((not ok)::int)::bigint as unmatched_count, (select coalesce(string_agg(v, ',' order by v), '') from (select v from t where not ok order by v limit 5)) as unmatched_sample from t")
+    def _(spark, sf):
+        fixed = P.seq([P.literal("Brand"), P.literal("#"), P.char_class("digit", 2, 2)])
+        stats = scoring.report(value_counts(column(spark, sf, "part", "p_brand")), fixed)["stats"]
+        return spark.createDataFrame([(stats["total_strings"], stats["matched_count"], stats["unmatched_count"], ",".join(stats["unmatched_sample"]))], "total_strings long, matched_count long, unmatched_count long, unmatched_sample string")
+
+    # Free text: nearly every row has a skeleton of its own.
+    out["profile_documents_text"] = (_profile_query("documents", "text", nulls="ignore"), None)
+
+    @add("tokens_of_documents", f"select doc_id, count(*) as n_tokens, sum(length(token))::bigint as n_chars from (select doc_id, unnest(regexp_extract_all(text, {TOK})) as token from documents where text is not null) group by 1")
+    def _(spark, sf):
+        rows = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null and text <> ''").withColumn("t", T.tokenize(F.col("text")))
+        last = F.element_at("t", -1)
+        return rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), (last["position"] + last["length"]).cast("long").alias("n_chars"))
 
     return out
 
 
-def _profile_query(table: str, name: str) -> Query:
-    return lambda spark, sf: profile.profile(column(spark, sf, table, name)).to_df().select("regex", "coverage", "matched_count")
+def _profile_query(table: str, name: str, **options) -> Query:
+    return lambda spark, sf: profile.profile(column(spark, sf, table, name), **options).to_df().select("regex", "coverage", "matched_count")
 
 
 def queries() -> dict[str, Query]:
