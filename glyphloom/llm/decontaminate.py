@@ -41,7 +41,7 @@ BROADCAST_IDS = 1_000_000  # 8 MB
 
 # Placeholders: letters without case that no supported text uses.
 NAME, NUMBER, UNIT, POINT = "ꓠ", "ꓳ", "ꓴ", "ꓒ"
-GROUP = r"(?<=[0-9])[.,'’_\u00a0\u2009\u202f](?=[0-9])"
+GROUP = r"[.,'’_\u00a0\u2009\u202f](?<=[0-9].)(?=[0-9])"  # the rare sign first: what stands before it is looked at only there
 # Fixed list of units.
 UNITS = "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|miles|mile|ft|feet|inches|inch|l|ml|litres|liters|s|sec|seconds|min|minutes|h|hours|hour|days|day|weeks|week|years|year|mph|kmh|euros|euro|dollars|dollar|eur|usd|cents|percent"
 
@@ -50,11 +50,11 @@ def _words(text: Column, surfaces: bool, form: str = "inside") -> Column:
     """The words of a text with placeholders, followed by the surface in lower case if that is asked for. Both have equally many words."""
     own, kept = ("$0", f"[0-9{POINT}]*") if surfaces else ("", "")
     joined = text if form == "inside" else F.regexp_replace(text, GROUP, POINT)
-    name = r"(?<![\p{L}\p{M}0-9])\p{Lu}[\p{L}\p{M}]*" if form == "open" else r"(?<=[\p{Ll}0-9,;] )\p{Lu}\p{Ll}+"
+    name = r"\p{Lu}(?<![\p{L}\p{M}0-9]\p{Lu})[\p{L}\p{M}]*" if form == "open" else r"\p{Lu}(?<=[\p{Ll}0-9,;] \p{Lu})\p{Ll}+"
     named = F.lower(F.regexp_replace(joined, name, NAME + own))
     counted = F.regexp_replace(named, f"[0-9]+(?:{POINT}[0-9]+)*", NUMBER + own)
     measured = F.regexp_replace(counted, rf"({NUMBER}{kept}) ?(?:({UNITS})(?![\p{{L}}\p{{M}}0-9])|%)", f"$1 {UNIT}" + ("$2" if surfaces else ""))
-    return F.split(F.trim(F.regexp_replace(measured, r"[^\p{L}\p{M}0-9]+", " ")), " ")
+    return F.filter(F.split(measured, r"[^\p{L}\p{M}0-9]+"), lambda w: w != "")
 
 
 def _surface(text: Column, between: str) -> Column:
