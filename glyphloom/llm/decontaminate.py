@@ -30,12 +30,15 @@ no rows; other columns are ignored by ``leaks`` and kept by ``without_leaks``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphloom.llm.shared import materialise, text_rows
 
 WINDOW, MIN_WORDS, MIN_WINDOWS = 8, 5, 4
+FORMS = ["inside", "grouped", "open"]  # the first that finds a pair gives its figures
 BROADCAST_WINDOWS = 500_000  # 16 MB
 BROADCAST_IDS = 1_000_000  # 8 MB
 
@@ -101,32 +104,34 @@ def _small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df.hint("merge")
 
 
-def benchmark_windows(rows: DataFrame, form: str) -> DataFrame:
-    """item_id, copy, size, ipos, hash, slots with their surfaces, and the item's number of windows; written, as it is used twice."""
-    rows = materialise(rows.select("item_id", "copy", _words(F.col("text"), False, form).alias("plain"), _words(F.col("text"), True, form).alias("full")), "items")
+def benchmark_windows(rows: DataFrame) -> DataFrame:
+    """form, item_id, copy, size, ipos, hash, slots with their surfaces, and the item's number of windows in that form; written, as it is used often."""
+    worded = [rows.select(F.lit(form).alias("form"), "item_id", "copy", _words(F.col("text"), False, form).alias("plain"), _words(F.col("text"), True, form).alias("full")) for form in FORMS]
+    words = materialise(reduce(DataFrame.union, worded), "items")
     size = F.least(F.size("plain"), F.lit(WINDOW))
-    each = rows.where(F.size("plain") >= MIN_WORDS).withColumn("size", size).withColumn("ipos", F.explode(F.sequence(F.lit(1), F.size("plain") - F.col("size") + 1)))
+    each = words.where(F.size("plain") >= MIN_WORDS).withColumn("size", size).withColumn("ipos", F.explode(F.sequence(F.lit(1), F.size("plain") - F.col("size") + 1)))
     window = F.slice("plain", F.col("ipos"), F.col("size"))
     literal = F.size(F.filter(window, lambda w: ~_is_slot(w)))
-    found = each.where(2 * literal >= F.col("size")).select("item_id", "copy", "size", "ipos", _hash_of(window).alias("hash"), _slots("full", F.col("ipos"), F.col("size")).alias("slots"))
-    total = found.groupBy("item_id", "copy").agg(F.count("*").alias("item_windows"))
-    return materialise(found.join(total, ["item_id", "copy"]), "item-windows")
+    found = each.where(2 * literal >= F.col("size")).select("form", "item_id", "copy", "size", "ipos", _hash_of(window).alias("hash"), _slots("full", F.col("ipos"), F.col("size")).alias("slots"))
+    total = found.groupBy("form", "item_id", "copy").agg(F.count("*").alias("item_windows"))
+    return materialise(found.join(total, ["form", "item_id", "copy"]), "item-windows")
 
 
-def _held(rows: DataFrame, wanted: DataFrame, form: str) -> DataFrame:
-    """A line for each text and item it holds in one form."""
+def _held(texts: dict[str, DataFrame], wanted: DataFrame) -> DataFrame:
+    """A line for each form, text and item it holds; ``texts`` has the rows to search in each form. All forms share their jobs."""
     sizes = _sizes(wanted) or [WINDOW]
-    side = _small(wanted.select("size", "hash", "item_id", "copy", "ipos", "item_windows", "slots"), BROADCAST_WINDOWS)
-    found = materialise(_windows(rows, _words(F.col("text"), False, form), sizes).join(side, ["size", "hash"]), "matches")
+    side = _small(wanted.select("form", "size", "hash", "item_id", "copy", "ipos", "item_windows", "slots"), BROADCAST_WINDOWS)
+    windows = [_windows(rows, _words(F.col("text"), False, form), sizes).withColumn("form", F.lit(form)) for form, rows in texts.items()]
+    found = materialise(reduce(DataFrame.union, windows).join(side, ["form", "size", "hash"]), "matches")
     # Only an item with enough windows in a text can be held there, whatever its slots say; the tests below can only take windows away.
-    pair, place = ["row", "item_id", "copy"], ["row", "item_id", "copy", "ipos", "pos"]
+    pair, place = ["form", "row", "item_id", "copy"], ["form", "row", "item_id", "copy", "ipos", "pos"]
     enough = found.select(*pair, "item_windows", "ipos").distinct().groupBy(*pair, "item_windows").count().where(F.col("count") >= F.least("item_windows", F.lit(MIN_WINDOWS)))
     found = materialise(found.join(enough.select(*pair), pair, "left_semi"), "enough")
     # Windows with slots are held against the text's surfaces.
     slotted = F.size("slots") > 0
-    to_test = _small(materialise(found.where(slotted).select("row").distinct(), "slotted"), BROADCAST_IDS)
-    surfaces = rows.join(to_test, "row", "left_semi").select("row", _words(F.col("text"), True, form).alias("full"))
-    filled = found.where(slotted).join(surfaces, "row").withColumn("own", _slots("full", F.col("pos"), F.col("size"))).drop("full")
+    to_test = _small(materialise(found.where(slotted).select("form", "row").distinct(), "slotted"), BROADCAST_IDS)
+    read_again = [rows.withColumn("form", F.lit(form)).join(to_test, ["form", "row"], "left_semi").select("form", "row", _words(F.col("text"), True, form).alias("full")) for form, rows in texts.items()]
+    filled = found.where(slotted).join(reduce(DataFrame.union, read_again), ["form", "row"]).withColumn("own", _slots("full", F.col("pos"), F.col("size"))).drop("full")
     tested = materialise(filled.where(_pattern(F.col("own")) == _pattern(F.col("slots"))), "filled-alike")
     said = materialise(tested.select(*place, F.explode(F.arrays_zip("slots", "own")).alias("z")).select(*place, F.col("z.slots").alias("s"), F.col("z.own").alias("o")).distinct(), "said")
     votes = said.select(*pair, "ipos", "s", "o").distinct().groupBy(*pair, "s", "o").agg((-F.count("*")).alias("n"))
@@ -168,23 +173,19 @@ def _found(docs: DataFrame, items: DataFrame) -> DataFrame:
     """row, doc_id, item_id, copy and the best figures of each text and item it holds."""
     rows = text_rows(docs).withColumn("row", _row())
     own = materialise(text_rows(items, "item_id").select(F.col("doc_id").alias("item_id"), F.monotonically_increasing_id().alias("copy"), "text"), "benchmark")
-    inside = benchmark_windows(own, "inside")
-    parts = [_held(rows, inside, "inside")]
-    # Without such numbers on either side this form is the first one.
+    windows = benchmark_windows(own)
+    # Without such numbers on either side the second form is the first one.
     grouped = rows if not own.where(F.col("text").rlike(GROUP)).isEmpty() else rows.where(F.col("text").rlike(GROUP))
-    parts.append(_held(grouped, benchmark_windows(own, "grouped"), "grouped"))
-    parts.append(_held(rows, benchmark_windows(own, "open"), "open"))
-    safe = inside.where(F.col("item_windows") >= MIN_WINDOWS + 2).select("item_id", "copy").distinct()
+    templates = _held({"inside": rows, "grouped": grouped, "open": rows}, windows)
+    safe = windows.where((F.col("form") == "inside") & (F.col("item_windows") >= MIN_WINDOWS + 2)).select("item_id", "copy").distinct()
     rest = materialise(own.join(safe, ["item_id", "copy"], "left_anti"), "few-windows")
     worded = F.col("text").rlike(r"[\p{L}\p{M}\p{N}]")
-    parts += [_held_exactly(rows, rest.where(worded), r"[^\p{L}\p{M}\p{N}]+"), _held_exactly(rows, rest.where(~worded), r"\s+")]
+    whole = [_held_exactly(rows, rest.where(worded), r"[^\p{L}\p{M}\p{N}]+"), _held_exactly(rows, rest.where(~worded), r"\s+")]
+    parts = [templates, *(p.withColumn("form", F.lit("exact")) for p in whole if p is not None)]
+    rank = F.array_position(F.array(*map(F.lit, FORMS), F.lit("exact")), F.col("form"))
     figures = ["n_windows", "item_windows", "first_word"]
-    held = None
-    for rank, part in enumerate(parts):
-        if part is not None:
-            one = part.select("row", "doc_id", "item_id", "copy", F.struct(F.lit(rank).alias("rank"), (-F.col("n_windows")).alias("most"), *figures).alias("best"))
-            held = one if held is None else held.union(one)
-    return held
+    best = F.struct(rank.alias("rank"), (-F.col("n_windows")).alias("most"), *figures).alias("best")
+    return reduce(DataFrame.union, [p.select("row", "doc_id", "item_id", "copy", best) for p in parts])
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
