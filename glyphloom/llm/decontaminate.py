@@ -68,17 +68,48 @@ def _is_slot(word: Column) -> Column:
     return F.substring(word, 1, 1).isin(NAME, NUMBER, UNIT)
 
 
-def _window_hash(size: int):
-    return lambda i: F.xxhash64(F.slice("words", i, size))
+def _parts(size: int) -> list[int]:
+    """The powers of two that a window's hash is put together from, largest first."""
+    return [1 << i for i in reversed(range(size.bit_length())) if size >> i & 1]
+
+
+def _window_hash(window: Column) -> Column:
+    """The hash of a window of at most WINDOW words: words in pairs, pairs in pairs, then the parts from left to right."""
+
+    def part(first: int, size: int) -> Column:
+        if size == 1:
+            return F.xxhash64(F.get(window, F.lit(first)))
+        return F.xxhash64(part(first, size // 2), part(first + size // 2, size // 2))
+
+    def whole(size: int) -> Column:
+        out, at = None, 0
+        for p in _parts(size):
+            out = part(at, p) if out is None else F.xxhash64(out, part(at, p))
+            at += p
+        return out
+
+    return F.coalesce(*[F.when(F.size(window) == size, whole(size)) for size in range(1, WINDOW + 1)])
+
+
+def _joined(left: str | Column, right: str, at: int) -> Column:
+    """At every place, the hash of what ``left`` has there and ``right`` has ``at`` places on."""
+    return F.zip_with(left, F.slice(right, at + 1, F.greatest(F.size(right) - at, F.lit(0))), lambda x, y: F.xxhash64(x, y))
 
 
 def _windows(rows: DataFrame, words: Column, sizes: list[int]) -> DataFrame:
     """rows (row, doc_id, text) to (row, doc_id, size, pos, hash): every window of each size, from word 1 on."""
-    hashed = rows.select("row", "doc_id", F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
+    hashed = rows.select("row", "doc_id", F.transform(words, lambda w: F.xxhash64(w)).alias("of1"))
+    p = 1
+    while 2 * p <= max(sizes):
+        hashed = hashed.withColumn(f"of{2 * p}", _joined(f"of{p}", f"of{p}", p))
+        p *= 2
     out = None
     for size in sizes:
-        count = F.size("words") - (size - 1)
-        each = F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), _window_hash(size)))
+        first, *others = _parts(size)
+        each, at = F.col(f"of{first}"), first
+        for p in others:
+            each, at = _joined(each, f"of{p}", at), at + p
+        each = F.slice(each, F.lit(1), F.greatest(F.size("of1") - (size - 1), F.lit(0)))
         one = hashed.select("row", "doc_id", F.lit(size).alias("size"), F.posexplode(each).alias("pos", "hash")).withColumn("pos", F.col("pos") + 1)
         out = one if out is None else out.union(one)
     return out
@@ -112,7 +143,8 @@ def benchmark_windows(rows: DataFrame) -> DataFrame:
     each = words.where(F.size("plain") >= MIN_WORDS).withColumn("size", size).withColumn("ipos", F.explode(F.sequence(F.lit(1), F.size("plain") - F.col("size") + 1)))
     window = F.slice("plain", F.col("ipos"), F.col("size"))
     literal = F.size(F.filter(window, lambda w: ~_is_slot(w)))
-    found = each.where(2 * literal >= F.col("size")).select("form", "item_id", "copy", "size", "ipos", _hash_of(window).alias("hash"), _slots("full", F.col("ipos"), F.col("size")).alias("slots"))
+    found = each.where(2 * literal >= F.col("size")).withColumn("window", window)
+    found = found.select("form", "item_id", "copy", "size", "ipos", _window_hash(F.col("window")).alias("hash"), _slots("full", F.col("ipos"), F.col("size")).alias("slots"))
     total = found.groupBy("form", "item_id", "copy").agg(F.count("*").alias("item_windows"))
     return materialise(found.join(total, ["form", "item_id", "copy"]), "item-windows")
 
@@ -149,7 +181,7 @@ def _held_exactly(rows: DataFrame, items: DataFrame, between: str) -> DataFrame
     """The same for whole items (item_id, copy, text): their first words are joined, and the rest of longer ones compared."""
     words = items.select("item_id", "copy", _surface(F.col("text"), between).alias("words")).where(F.size("words") > 0)
     size = F.least(F.size("words"), F.lit(WINDOW))
-    keyed = words.select("item_id", "copy", F.size("words").alias("length"), size.alias("size"), _hash_of(F.slice("words", F.lit(1), size)).alias("hash"), _hash_of(F.col("words")).alias("whole"))
+    keyed = words.select("item_id", "copy", F.size("words").alias("length"), size.alias("size"), _window_hash(F.slice("words", F.lit(1), size)).alias("hash"), _hash_of(F.col("words")).alias("whole"))
     keyed = materialise(keyed, "exact-items")
     sizes = _sizes(keyed)
     if not sizes:
