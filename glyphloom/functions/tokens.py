@@ -19,8 +19,9 @@ MERGED_TOKEN = rf"[0-9]+|[A-Za-z]+|{_REST}"
 
 
 def graphemes(value: Column) -> Column:
-    """Length in grapheme clusters."""
-    return F.regexp_count(value, F.lit(r"\X"))
+    """Length in grapheme clusters. In ASCII that is the number of characters, but for CR LF pairs."""
+    plain = (F.octet_length(value) == F.length(value)) & ~F.contains(value, F.lit("\r"))
+    return F.when(plain, F.length(value)).otherwise(F.regexp_count(value, F.lit(r"\X")))
 
 
 def token_type(value: Column) -> Column:
@@ -32,6 +33,15 @@ def token_type(value: Column) -> Column:
     )
 
 
+def run_type(value: Column) -> Column:
+    """``token_type`` of what ``token_values`` gives without merging: runs of one class, which the first character tells."""
+    first = F.substring(value, 1, 1)
+    return (
+        F.when(first.between("a", "z"), "lower").when(first.isin(*WHITESPACE), "whitespace").when(first.between("0", "9"), "digits").when(first.between("A", "Z"), "upper")
+        .when(first.between("!", "~"), "delimiter").otherwise("literal")
+    )
+
+
 def token(kind: Column | str, value: Column, position: Column | int = 0) -> Column:
     """One token as a struct of type, value, length (graphemes) and position."""
     as_column = lambda x: x if isinstance(x, Column) else F.lit(x)

@@ -4,21 +4,28 @@ Groups are merged in order of size: a leader takes every later group within ``ME
 skeleton are at distance 0 and as far from any other, so they always end together and are merged first. What is left stays a DataFrame: each round takes its
 first rows as possible leaders, settles which of them lead, and gives every row to the first leader near enough; only the
 possible leaders and the clusters' sizes come to the driver. A round has more leaders when the one before took little. Rounds stop as soon as no later cluster can be among those kept.
+Short skeletons are compared by the built-in edit distance; where one is longer than ``SHORT``, many at a time by bit vectors (``functions/distance.py``).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphloom.functions import distance
 from glyphloom.functions import tokens as T
 from glyphloom.plans.lineage import cut
 
 # Fixed value: groups this near are merged.
 MERGE_DISTANCE = 0.3
-BLOCK = 64
+BLOCK, LONG_BLOCK = 64, 16
+SHORT = 200
+# Rows of a partition that are compared together, and their characters at most.
+TOGETHER, TOGETHER_CHARS = 4096, 16_000_000
 
 
 @dataclass(frozen=True)
@@ -51,34 +58,70 @@ def _near(norm: Column, leader: str, threshold: float) -> Column:
     return (norm == other) | F.when(close, (distance >= 0) & (distance / longest <= threshold)).otherwise(False)
 
 
+def _with_first_near(left: DataFrame, leaders: list[str], base: int, threshold: float) -> DataFrame:
+    """``left`` with the cluster of the first leader near enough, from ``base`` on, or null; by bit vectors."""
+
+    def chunks(batches):
+        for b in batches:
+            at, lengths = 0, pc.binary_length(b.column("norm")).to_numpy()
+            while at < b.num_rows:
+                n = max(1, int((lengths[at : at + TOGETHER].cumsum() <= TOGETHER_CHARS).sum()))
+                yield b.slice(at, n)
+                at += n
+
+    def run(batches):
+        known = [distance.Leader(p) for p in leaders]
+        for b in chunks(batches):
+            place = distance.first_near(known, b.column("norm").to_pylist(), threshold)
+            yield b.append_column("cluster", pa.array(place + base, pa.int32(), mask=place < 0))
+
+    return left.mapInArrow(run, "id long, norm string, size long, cluster int")
+
+
+def _leaders(possible: list[str], threshold: float) -> list[str]:
+    """Those of the possible leaders that no earlier one takes; by bit vectors."""
+    out = []
+    while possible:
+        out.append(possible[0])
+        place = distance.first_near([distance.Leader(possible[0])], possible[1:], threshold)
+        possible = [p for p, k in zip(possible[1:], place, strict=True) if k < 0]
+    return out
+
+
 def merge_groups(classes: DataFrame, max_clusters: int | None = None, threshold: float = MERGE_DISTANCE) -> tuple[DataFrame, list[int]]:
     """(norm, cluster) and the clusters' sizes in leader order. With ``max_clusters`` the rest, once it can't matter, is one cluster at the end."""
-    left = cut(classes.select("norm", "size", "first"))
-    rest = left.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    parts, sizes, block = [], [], 1
+    left = cut(classes.orderBy("first").select(F.monotonically_increasing_id().alias("id"), "norm", F.col("size").cast("long").alias("size")))
+    whole = left.agg(F.coalesce(F.sum("size"), F.lit(0)), F.max(F.length("norm"))).first()
+    rest, long = whole[0], (whole[1] or 0) > SHORT
+    parts, sizes, least = [], [], LONG_BLOCK if long else 1
+    block = least
     while rest:
         if max_clusters and len(sizes) >= max_clusters and (max_clusters == 1 or sorted(sizes, reverse=True)[max_clusters - 2] >= rest):
             parts.append(left.select("norm", F.lit(len(sizes)).alias("cluster")))
             sizes.append(rest)
             break
-        heads = left.select("first", "norm").orderBy("first").limit(block)
+        heads = left.select("id", "norm").orderBy("id").limit(block)
         possible = [r["norm"] for r in heads.collect()]
-        leaders = possible[:1]
-        if len(possible) > 1:
-            table = heads.select("norm", *[_near(F.col("norm"), p, threshold).alias(f"n{i}") for i, p in enumerate(possible)]).collect()
-            near = {r["norm"]: r for r in table}
-            for p in possible[1:]:
-                if not any(near[p][f"n{possible.index(q)}"] for q in leaders):
-                    leaders.append(p)
         base = len(sizes)
-        which = F.coalesce(*[F.when(_near(F.col("norm"), p, threshold), F.lit(base + i)) for i, p in enumerate(leaders)])
-        tried = cut(left.withColumn("cluster", which))
+        if long:
+            leaders = _leaders(possible, threshold)
+            tried = cut(_with_first_near(left, leaders, base, threshold))
+        else:
+            leaders = possible[:1]
+            if len(possible) > 1:
+                table = heads.select("norm", *[_near(F.col("norm"), p, threshold).alias(f"n{i}") for i, p in enumerate(possible)]).collect()
+                near = {r["norm"]: r for r in table}
+                for p in possible[1:]:
+                    if not any(near[p][f"n{possible.index(q)}"] for q in leaders):
+                        leaders.append(p)
+            which = F.coalesce(*[F.when(_near(F.col("norm"), p, threshold), F.lit(base + i)) for i, p in enumerate(leaders)])
+            tried = cut(left.withColumn("cluster", which))
         taken = {r["cluster"]: r["size"] for r in tried.where("cluster is not null").groupBy("cluster").agg(F.sum("size").alias("size")).collect()}  # at most BLOCK rows
         sizes += [taken[base + i] for i in range(len(leaders))]
         parts.append(tried.where("cluster is not null").select("norm", "cluster"))
         left = tried.where("cluster is null").drop("cluster")
         before, rest = rest, rest - sum(taken.values())
-        block = min(BLOCK, 2 * block) if rest > 0.8 * before else max(1, block // 2)
+        block = min(BLOCK, 2 * block) if rest > 0.8 * before else max(least, block // 2)
     out = parts[0] if parts else left.select("norm", F.lit(0).alias("cluster"))
     for part in parts[1:]:
         out = out.union(part)

@@ -172,8 +172,8 @@ def _profile(counts: DataFrame, opts: Options) -> Profile:
         return Profile(counts, members, _infos(counts, [(0, P.enum(values))], total), opts, total, distinct, None)
     clusters = clustering.cluster(counts, opts.max_clusters)
     members = clustering.with_cluster(counts, clusters).cache()
-    best = synthesis.best_patterns(members, list(clusters.sizes), clusters.sizes)
-    kept = [i for i in _infos(counts, [(c, best[c]) for c in clusters.sizes], total) if i.coverage >= opts.min_coverage]
+    best = synthesis.best_patterns(members, list(clusters.sizes), clusters.sizes, opts.min_coverage, total)
+    kept = [i for i in _infos(counts, [(c, best[c]) for c in clusters.sizes if c in best], total) if i.coverage >= opts.min_coverage]
     kept.sort(key=lambda i: -i.coverage)
     anomalies = counts.where(~P.matches_any(F.col("value"), [i.pattern for i in kept])) if opts.detect_anomalies else None
     return Profile(counts, members, kept, opts, total, distinct, anomalies)

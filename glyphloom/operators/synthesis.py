@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphloom.functions import tokens as T
-from glyphloom.plans.pattern import Any, CharClass, Enum, Literal, Pattern, matches, seq
+from glyphloom.plans.pattern import Any, CharClass, Enum, Literal, Pattern, matches, matches_start, seq
 
 # Enumeration thresholds tried, coverage asked for, sizes below which values are listed.
 THRESHOLDS = (5, 10, 20, 50)
 MIN_COVERAGE = 0.95
 SMALL_SET, REPETITION = 5, 0.3
+# Positions from which it is told whether a pattern can match enough values.
+PREFIX = 64
 # The character class of each token type.
 TYPE_CLASS = {"digits": "digit", "upper": "upper", "lower": "lower", "alpha": "alpha", "alnum": "alnum"}
 
@@ -30,22 +32,33 @@ class TypeStats:
     values: tuple[str, ...]
 
 
+def _tokens(counts: DataFrame, upto: int | None = None) -> DataFrame:
+    """(cluster, cnt, pos, token, type), of each value's first ``upto`` tokens if that is given."""
+    value = F.col("value") if upto is None else F.regexp_extract("value", rf"\A(?:{T.TOKEN}){{0,{upto}}}", 0)
+    texts = counts.select("cluster", "cnt", F.posexplode(T.token_values(value)).alias("pos", "token"))
+    return texts.withColumn("type", T.run_type(F.col("token")))
+
+
 def position_stats(counts: DataFrame, keep: int = max(THRESHOLDS) + 1) -> DataFrame:
     """From (cluster, value, cnt) with distinct values: cluster, pos, type, distinct, total, shortest, longest, values.
 
     Values are grouped before at most ``keep`` of them are collected, so no array grows with the data.
     """
-    texts = counts.select("cluster", "cnt", F.posexplode(T.token_values(F.col("value"))).alias("pos", "token"))
-    grouped = texts.groupBy("cluster", "pos", "token").agg(F.sum("cnt").alias("cnt")).withColumn("type", T.token_type(F.col("token"))).withColumn("length", T.graphemes(F.col("token")))
+    return _exact_stats(_tokens(counts), keep)
+
+
+def _exact_stats(tokens: DataFrame, keep: int) -> DataFrame:
+    grouped = tokens.groupBy("cluster", "pos", "type", "token").agg(F.sum("cnt").alias("cnt")).withColumn("length", T.graphemes(F.col("token")))
     stats = grouped.groupBy("cluster", "pos", "type").agg(F.count("*").alias("distinct"), F.sum("cnt").alias("total"), F.min("length").alias("shortest"), F.max("length").alias("longest"))
     first = grouped.withColumn("rank", F.row_number().over(Window.partitionBy("cluster", "pos", "type").orderBy("token"))).where(F.col("rank") <= keep)
     values = first.groupBy("cluster", "pos", "type").agg(F.array_sort(F.collect_list("token")).alias("values"))
     return stats.join(values, ["cluster", "pos", "type"])
 
 
-def collect_positions(counts: DataFrame, keep: int = max(THRESHOLDS) + 1) -> dict[int, list[list[TypeStats]]]:
+def collect_positions(counts: DataFrame, keep: int = max(THRESHOLDS) + 1, upto: int | None = None) -> dict[int, list[list[TypeStats]]]:
+    """The statistics by cluster and position; with ``upto`` only those of so many first positions."""
     out: dict[int, list[list[TypeStats]]] = {}
-    for r in position_stats(counts, keep).orderBy("cluster", "pos", "type").collect():
+    for r in _exact_stats(_tokens(counts, upto), keep).orderBy("cluster", "pos", "type").collect():
         places = out.setdefault(r["cluster"], [])
         while len(places) <= r["pos"]:
             places.append([])
@@ -82,9 +95,27 @@ def synthesize(positions: list[list[TypeStats]], threshold: int = 10) -> Pattern
     return seq(position_pattern(p, threshold) for p in (positions or [[], []])).optimized()
 
 
-def best_patterns(counts: DataFrame, clusters: list[int], sizes: dict[int, int]) -> dict[int, Pattern]:
-    """For each cluster the cheapest candidate that covers enough of it, else the first. All candidates are tried in one job."""
-    positions = collect_positions(counts)
+def starts(counts: DataFrame, clusters: list[int], positions: dict[int, list[list[TypeStats]]]) -> dict[int, int]:
+    """For each cluster how many values, of any cluster, begin as one of its candidates does over the given first positions."""
+    asked = {c: list(dict.fromkeys(seq(position_pattern(p, t) for p in positions[c]) for t in THRESHOLDS)) for c in clusters if positions.get(c)}
+    sums = [F.coalesce(F.sum(F.when(matches_start(F.col("value"), p), F.col("cnt"))), F.lit(0)).alias(f"s{c}_{i}") for c, ps in asked.items() for i, p in enumerate(ps)]
+    row = counts.agg(*sums).first() if sums else None
+    return {c: max(row[f"s{c}_{i}"] for i in range(len(ps))) for c, ps in asked.items()}
+
+
+def best_patterns(counts: DataFrame, clusters: list[int], sizes: dict[int, int], min_coverage: float = 0, total: int = 1) -> dict[int, Pattern]:
+    """For each cluster the cheapest candidate that covers enough of it, else the first. All candidates are tried in one job.
+
+    A cluster is left out if no candidate can match ``min_coverage`` of the ``total`` values of ``counts``: what a pattern matches begins as its first
+    positions do, so these are built first, from the first ``PREFIX`` tokens. Only the others' later positions are looked at.
+    """
+    positions = collect_positions(counts, upto=PREFIX)
+    full = [c for c in clusters if len(positions.get(c, [])) == PREFIX]
+    if full and min_coverage > 0:
+        began = starts(counts, full, positions)
+        clusters, full = ([c for c in some if c not in began or began[c] / total >= min_coverage] for some in (clusters, full))
+    if full:
+        positions |= collect_positions(counts.where(F.col("cluster").isin(full)))
     tries = {c: [synthesize(positions.get(c, []), t) for t in THRESHOLDS] for c in clusters}
     asked = [(c, p) for c in clusters for p in dict.fromkeys(tries[c])]
     if not asked:

@@ -289,6 +289,14 @@ def matches(value: Column, pattern: Pattern) -> Column:
     return value.rlike(text)
 
 
+def matches_start(value: Column, pattern: Pattern) -> Column:
+    """Whether a value begins with something that matches."""
+    text = f"(?d)^(?:{pattern.regex()})"
+    if pattern.bytewise():
+        return F.decode(F.encode(value, "UTF-8"), "ISO-8859-1").rlike(text.encode().decode("latin-1"))
+    return value.rlike(text)
+
+
 def matches_any(value: Column, patterns) -> Column:
     found = F.lit(False)
     for p in patterns:

@@ -131,6 +131,52 @@ def test_free_text_merge_equals_naive(spark):
     assert got == want and len(got) < 30
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_bit_vectors_equal_naive(spark, monkeypatch):
+    import numpy as np
+
+    from glyphloom.functions import distance
+
+    random.seed(6)
+    text = lambda n: "".join(random.choice("X_,.") for _ in range(n))
+    for size in (1, 63, 64, 65, 129, 200):
+        lead = text(size)
+        others = sorted([text(int(size * random.uniform(0.6, 1.5)) + 1) for _ in range(8)] + [lead[k:] + "X" * k for k in range(0, size, 20)], key=len)
+        want = [edit_distance(lead, t) for t in others]
+        assert distance._batch(distance.Leader(lead), [distance.codes(t) for t in others], 1000).tolist() == want
+        for threshold in (0.1, 0.3, 0.5):
+            got = distance.first_near([distance.Leader(lead)], ["", *others], threshold)
+            assert got.tolist() == [-1] + [0 if w / max(size, len(t)) <= threshold else -1 for w, t in zip(want, others, strict=True)]
+    assert distance.first_near([distance.Leader("")], ["", "X"], 0.3).tolist() == [0, -1] and distance.first_near([], ["X"], 0.3).dtype == np.int32
+    # Skeletons longer than SHORT: the built-in edit distance isn't asked, which took 5 ms and more a pair of long texts.
+    monkeypatch.setattr(clustering, "_near", None)
+    got, want = merged(spark, [" ".join(random.choice(["word", "and,", "Two.", "x-y", "12"]) for _ in range(random.randint(1, 160))) for _ in range(40)])
+    assert got == want
+
+
+def test_free_text_positions_are_not_all_collected(spark, monkeypatch):
+    from glyphloom.operators import synthesis
+
+    random.seed(7)
+    texts = [" ".join("".join(random.choice("abcdefghij") for _ in range(random.randint(1, 9))) + random.choice(["", "", ",", "."]) for _ in range(random.randint(45, 110))) for _ in range(600)]
+    rows = [f"{i:03d}-" * 40 + "end" for i in range(600)]  # 81 tokens, and a pattern of as many positions
+    asked, collect = [], synthesis.collect_positions
+    monkeypatch.setattr(synthesis, "collect_positions", lambda *a, **k: asked.append((a, k)) or collect(*a, **k))
+    assert regexes(spark, texts, min_coverage=0.4) == [] and [k for _, k in asked] == [{"upto": synthesis.PREFIX}]
+    assert regexes(spark, rows) == [r"\d{3}\-" * 40 + "end"] and len(asked) == 3
+    both = profile.profile_list(spark, texts + rows, min_coverage=0.4)
+    everything = profile.profile_list(spark, texts + rows, min_coverage=0.0)
+    assert both.regexes() == [p.regex for p in everything.patterns if p.coverage >= 0.4] and len(everything.patterns) > len(both.patterns)
+
+
 def test_long_values_are_not_quadratic(spark):
     import time
 
