@@ -52,6 +52,24 @@ def token_values(value: Column, merge_alpha: bool = False) -> Column:
     return F.regexp_extract_all(value, F.lit(MERGED_TOKEN if merge_alpha else TOKEN), F.lit(0))
 
 
+def token_count(value: Column, merge_alpha: bool = False) -> Column:
+    """How many tokens a string has: each is replaced by one sign, which makes no array of them."""
+    return F.length(F.regexp_replace(value, MERGED_TOKEN if merge_alpha else TOKEN, "X"))
+
+
+def tokens_length(value: Column) -> Column:
+    """The sum of the tokens' lengths in graphemes, without the tokens. They differ from characters in CR LF pairs and in literals only.
+
+    Literals are counted together, parted by line feeds, which are graphemes of their own beside anything.
+    """
+    parted = F.trim(F.regexp_replace(value, rf"[0-9A-Za-z{SPACE_CLASS}{DELIMITER_CLASS}]+", "\n"), F.lit("\n"))
+    bare = F.replace(parted, F.lit("\n"), F.lit(""))
+    pairs = F.when(F.contains(value, F.lit("\r\n")), F.length(value) - F.length(F.replace(value, F.lit("\r\n"), F.lit("\n")))).otherwise(0)
+    joined = F.length(bare) - (F.regexp_count(parted, F.lit(r"\X")) - (F.length(parted) - F.length(bare)))
+    # Below U+0300 no character but CR LF joins another, so that only others need counting.
+    return F.length(value) - pairs - F.when(bare.rlike(r"[^\x{0}-\x{2FF}]"), joined).otherwise(0)
+
+
 def _let(value: Column, use) -> Column:
     """``use`` of a value that is computed once; a lambda would compute an outer expression anew for each element."""
     return F.transform(F.array(value), use)[0]
@@ -63,7 +81,7 @@ def tokenize(value: Column, merge_alpha: bool = False, preserve_case: bool = Tru
     Positions are running sums of lengths, taken in blocks of about the square root of the number of tokens: the sum of the blocks
     before, and of the tokens before in the block.
     """
-    bare = F.transform(token_values(value, merge_alpha), lambda t: F.struct(token_type(t).alias("type"), t.alias("value"), graphemes(t).alias("length")))
+    bare = F.transform(token_values(value, merge_alpha), lambda t: F.struct((token_type(t) if merge_alpha else run_type(t)).alias("type"), t.alias("value"), graphemes(t).alias("length")))
     total = lambda part: F.aggregate(part, F.lit(0), lambda n, t: n + t["length"])
     sized = _let(bare, lambda x: F.struct(x.alias("all"), F.greatest(F.lit(32), F.sqrt(F.size(x)).cast("int")).alias("each")))
     blocks = _let(sized, lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(s["all"]), F.lit(1)) - 1) / s["each"]).cast("int")), lambda k: F.slice(s["all"], k * s["each"] + 1, s["each"])))

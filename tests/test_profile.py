@@ -188,6 +188,17 @@ def test_long_values_are_not_quadratic(spark):
     assert time.time() - began < 15  # seconds of a slow machine; appending one by one took 47 of a fast one
 
 
+def test_token_totals_without_tokens(spark):
+    values = ["AB-12 x\u00e9", "e\u0301a", "\u0301\u0301 a", "a\r\nb\r\n\r\n", "\u0600a b", "x\u200d\U0001f469", "\U0001f469\u200d\U0001f469 1\U0001f44d\U0001f3fd", "\0\x01\u00e9\u0300\n", "\u1100\u1161x\u1161", "\u00e9\r", "1\ufe0f\u20e3", "", "\x7f\u0301"]
+    t = T.token_values(F.col("value"))
+    row = columns.from_list(spark, values).select("value", F.size(t).alias("n"), F.aggregate(t, F.lit(0), lambda a, x: a + F.regexp_count(x, F.lit(r"\X"))).alias("length"), T.token_count(F.col("value")).alias("count"), T.tokens_length(F.col("value")).alias("total"), T.tokenize(F.col("value")).alias("t"))
+    for r in row.collect():
+        assert (r["count"], r["total"]) == (r["n"], r["length"]), r["value"]
+        assert sum(t["length"] for t in r["t"]) == r["length"]
+    kinds = columns.from_list(spark, ["aB1 \t-_~!\u00e9\0" + chr(127)]).select(F.explode(t).alias("t")).select(T.run_type(F.col("t")).alias("one"), T.token_type(F.col("t")).alias("two")).collect()
+    assert len(kinds) == 9 and all(r["one"] == r["two"] for r in kinds)
+
+
 def test_token_signs(spark):
     row = columns.from_list(spark, ["AB-12 xé"]).select(F.transform(T.tokenize(F.col("value")), lambda t: F.struct(T.signature_char(t).alias("c"), T.token_signature(t).alias("s"))).alias("t")).first()["t"]
     assert [(r["c"], r["s"]) for r in row] == [("U", "UU"), ("-", "-"), ("D", "DD"), ("_", "_"), ("L", "L"), ("é", "é")]
